@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontamination
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_components
 from .token_counts import token_counts
@@ -34,7 +35,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op8_ngram_jaccard_join)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op8_ngram_jaccard_join, op10_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": r"""
