@@ -106,9 +106,15 @@ def sketch_keys(h: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bit_sketch(h: np.ndarray, words: int) -> np.ndarray:
-    """Parity sketch with one bit a shingle."""
-    return np.packbits(np.bincount((_mix(h) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1)
+def bit_sketch(h: np.ndarray) -> bytes:
+    """Parity sketch with one bit a shingle; twice as many bits as shingles, rounded up to a power of two."""
+    bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((_mix(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same shingles with fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
 
 
 def _z(a: np.ndarray) -> bytes:
@@ -214,7 +220,7 @@ def _shingled(size: int):
         for batch in batches:
             sets = [shingles(t, size, hashes) for t in batch.column(0).to_pylist()]
             marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"set_hi": marks[:, 0], "set_lo": marks[:, 1], "shingles": pa.array([h.tobytes() for h in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"set_hi": marks[:, 0], "set_lo": marks[:, 1], "shingles": pa.array([h.tobytes() for h in sets], pa.binary()), "bits": pa.array([bit_sketch(h) for h in sets], pa.binary())})
 
     return run
 
@@ -232,31 +238,46 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the ``u, v`` pairs whose sets are similar enough."""
+def _within(percent: int):
+    """Pairs whose sketches don't lie further apart than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, m, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m", "n")), strict=True):
+                size = min(len(a), len(b))
+                keep.append(int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()) <= min(m, n) * (100 - percent) // percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
+    """Those of the ``u, v`` pairs whose sets are similar enough: first by the sketches' bound, then by the sets."""
+    if not bounded:
+        a, b = (sets.select(F.col("node").alias(x), F.col("bits").alias(y), F.col("n").alias(z)) for x, y, z in (("u", "a", "m"), ("v", "b", "n")))
+        pairs = written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "m", "n").mapInArrow(_within(percent), "u long, v long"), "bounded")
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked(percent), "u long, v long")
 
 
 def _near(percent: int):
-    """Pairs of nodes of two blocks of a bucket that lie in different components and within the Hamming bound."""
+    """Pairs of nodes of two blocks of a bucket that lie in different components and within the sketches' bound."""
 
     def run(table: pa.Table) -> pa.Table:
-        classes, u, v = Classes(percent), [], []
-        left, right = (table.filter(pa.array([x in (s, 2) for x in table.column("side").to_pylist()])) for s in (0, 1))
-        whole = left.num_rows and 2 in left.column("side").to_pylist()
-        sets = [[np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()] for t in (left, right)]
-        node, comp = [[np.array(t.column(c).to_pylist(), np.int64) for t in (left, right)] for c in ("node", "component")]
-        most = max((classes.differ(len(h)) for side in sets for h in side), default=0) + 2
-        bits = [np.stack([bit_sketch(h, most) for h in side]) if side else np.zeros((0, 8 * most), np.uint8) for side in sets]
-        sizes = [np.array([len(h) for h in side]) for side in sets]
-        for i in range(len(node[0])):
-            apart = np.bitwise_count(bits[1] ^ bits[0][i]).sum(axis=1, dtype=np.int64)
-            bound = np.minimum(sizes[0][i], sizes[1]) * (100 - percent) // percent
-            hit = (apart <= bound) & (comp[1] != comp[0][i]) & ((node[1] > node[0][i]) | (not whole))
-            u.append(np.minimum(node[0][i], node[1][hit]))
-            v.append(np.maximum(node[0][i], node[1][hit]))
-        return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows = table.to_pylist()
+        size = min(len(r["bits"]) for r in rows)
+        left, right = ([r for r in rows if r["side"] in (s, 2)] for s in (0, 1))
+        if left and right:
+            node, comp, n = (np.array([r[c] for r in right], np.int64) for c in ("node", "component", "n"))
+            bits = np.stack([folded(r["bits"], size) for r in right])
+            for r in left:
+                apart = np.bitwise_count(bits ^ folded(r["bits"], size)).sum(axis=1, dtype=np.int64)
+                hit = (comp != r["component"]) & (apart <= np.minimum(n, r["n"]) * (100 - percent) // percent) & ((node > r["node"]) | (r["side"] != 2))
+                u.append(np.minimum(node[hit], r["node"]))
+                v.append(np.maximum(node[hit], r["node"]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return run
 
@@ -264,13 +285,16 @@ def _near(percent: int):
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs still to verify, in buckets that hold several components."""
     told = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), *marks).filter("low < high")
+    # Buckets of the same nodes are one.
+    mixed = mixed.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key"))
     # Members of a bucket fall into blocks by hash; each pair of blocks is a group of its own.
     blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
     dealt = told.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(sets, "node")
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(sets.select("node", "n", "bits"), "node")
     return dealt.groupBy("key", "x", "y").applyInArrow(_near(percent), "u long, v long").distinct()
 
 
@@ -292,16 +316,16 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: st
     pairs = found.filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = named.filter("ref = node").join(nodes, "node", "left_semi").select("node", "doc_id", "set_hi", "set_lo")
+    wanted = named.filter("ref = node").join(nodes, "node", "left_semi").select("node", "doc_id", "n", "set_hi", "set_lo")
     texts = whole.alias("w").join(wanted.select("doc_id").distinct().alias("c"), F.expr("w.doc_id <=> c.doc_id"), "left_semi").select("text")
-    again = texts.mapInArrow(_shingled(size), "set_hi long, set_lo long, shingles binary")
-    sets = again.join(wanted, ["set_hi", "set_lo"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    again = texts.mapInArrow(_shingled(size), "set_hi long, set_lo long, shingles binary, bits binary")
+    sets = again.join(wanted, ["set_hi", "set_lo"]).groupBy("node", "n").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     sets = written(sets, "sets")
     links = written(_verified(pairs, sets, percent), "links")
     members = found.select("key", "node").unionByName(found.select("key", F.col("center").alias("node"))).distinct()
     members = members.join(nodes, "node", "left_semi")
     more = written(_rest(members, components(links), sets, percent), "rest")
-    links = links.unionByName(_verified(more, sets, percent))
+    links = links.unionByName(_verified(more, sets, percent, bounded=True))
     label = components(links).select(F.col("node"), F.col("component"))
     out = named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = out.groupBy("component").agg(F.min("least").alias("component_id"))
