@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontamination
 from .exact_dedup import exact_dedup
+from .mixing import mixing
 from .ngram_join import ngram_components
+from .sharding import sharded
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -39,7 +41,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op8_ngram_jaccard_join, op10_benchmark_decontamination)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "copies")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op5_mixing, op8_ngram_jaccard_join, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": r"""
