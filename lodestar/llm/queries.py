@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mixing
 from .ngram_join import ngram_components
 from .sharding import sharded
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -33,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
 
@@ -49,7 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op5_mixing, op8_ngram_jaccard_join, op9_sharding, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op5_mixing, op7_suffix_dedup, op8_ngram_jaccard_join, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": r"""
