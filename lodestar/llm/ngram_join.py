@@ -5,7 +5,7 @@ For a pair whose smaller set is of a class, a similarity of t allows at most d d
 the parity of its own share of the shingles, then agrees in at least two words. Documents that agree in a word share a bucket.
 Empty words are passed over where a sketch has one at most, and used where it has more, so no pair is lost.
 
-Equal sets are one node. In a bucket every node is checked against the bucket's first; in a task's own rows this happens before the shuffle,
+Equal sets are one node. In a bucket every node is checked against the bucket's center; in a task's own rows this happens before the shuffle,
 so a word that very many documents share sends one row a task. Verified links form components. Where a bucket still holds several
 components, blocks of its nodes are compared by the Hamming distance of one-bit-a-shingle sketches, a lower bound
 of the symmetric difference, and the pairs within the bound are verified. A pair that shares a bucket is thus verified or in one component already: the components are exact.
@@ -32,6 +32,8 @@ from .components import components
 BLOCK_SHINGLES = 4_000_000
 #: Words of which the hash is remembered.
 KNOWN_WORDS = 1 << 20
+#: Centers that the buckets of one group of documents may have.
+ORDERS = 16
 #: Nodes of a bucket that are compared at a time.
 BLOCK_NODES = 512
 
@@ -126,6 +128,11 @@ def _unz(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _turn(key: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Order of the documents of a bucket, of which the first is its center; one of ``ORDERS`` by the key, so that a large group has many centers."""
+    return _mix(ref.astype(np.uint64) ^ (key.astype(np.uint64) % np.uint64(ORDERS)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """For sorted keys, the place of the first row with the same key."""
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -153,7 +160,7 @@ def _sketch(size: int, percent: int, buckets: int):
                 own = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
                 bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 key = key & np.uint64(0xFFFFFFFF)
-                order = np.lexsort((own, key, bucket))
+                order = np.lexsort((_turn(key, own), key, bucket))
                 bucket, key, own = bucket[order], key[order], own[order]
                 first = _runs(bucket.astype(np.uint64) << np.uint64(32) | key)
                 lead = first == np.arange(len(key))
@@ -199,7 +206,7 @@ def _members(table: pa.Table) -> pa.Table:
         key.append(np.cumsum(_unz(k, np.uint32), dtype=np.uint32).astype(np.int64))
         ref.append(_unz(r, np.uint32).astype(np.int64) + b)
     key, ref = np.concatenate(key), np.concatenate(ref)
-    order = np.lexsort((ref, key))
+    order = np.lexsort((_turn(key, ref), key))
     key, ref = key[order], ref[order]
     first = _runs(key)
     many = first != np.arange(len(key))
