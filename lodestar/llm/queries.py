@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontamination
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
+from .license_scan import license_scan, license_sql
 from .mixing import mixing
 from .ngram_join import ngram_components
 from .sharding import sharded
@@ -26,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -34,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "licenses", "n_licenses")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
@@ -54,9 +64,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_toxicity, op5_mixing, op7_suffix_dedup, op8_ngram_jaccard_join, op9_sharding, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_exact_dedup, op4_toxicity, op5_mixing, op6_license_scan, op7_suffix_dedup, op8_ngram_jaccard_join, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {
+    "op6_license_scan": license_sql(),
     "op3_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as plain from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(plain) as text_sha256
