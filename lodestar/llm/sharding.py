@@ -112,7 +112,7 @@ class ShardStore:
             return self.spark.createDataFrame([], schema).withColumn(path, F.lit(None).cast("string"))
         parts = None
         for folder in folders:
-            part = self.spark.read.schema(schema).parquet(folder).select("*", F.col("_metadata.file_path").alias(path))
+            part = self.spark.read.schema(schema).parquet(folder).select(*(F.col(f"`{c}`") for c in schema.names), F.col("_metadata.file_path").alias(path))
             parts = part if parts is None else parts.unionByName(part)
         return parts.join(named.select(F.col("path").alias(path)), path, "left_semi")
 

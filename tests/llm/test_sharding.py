@@ -26,6 +26,8 @@ def test_versions_and_conflicts(spark, tmp_path):
     first = store.version()
     many = store.manifest().count()
     store.append(docs(spark, 100, 200), 5)
+    store.compact(docs(spark, 0, 1).schema)
+    store.target = 9000
     last = store.compact(docs(spark, 0, 1).schema)
     assert last > first + 1 and store.manifest().count() < many
     assert store.read(docs(spark, 0, 1).schema, first).count() == 100
