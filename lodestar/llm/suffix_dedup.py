@@ -27,8 +27,8 @@ from .common import partitions, text_batches, written
 LENGTH = 400
 #: Bytes that a sample hashes.
 GRAM = 32
-#: Bytes of text or of ranks that a task works on at a time.
-BATCH_BYTES = 8 << 20
+#: Bytes of text or of ranks that a task works on at a time; it takes about 80 times as much memory. Longer texts are cut into overlapping pieces.
+BATCH_BYTES = 2 << 20
 #: Ranks of a bucket up to which one task compares them.
 BUCKET_RANKS = 10_000
 
@@ -79,17 +79,17 @@ def samples(raw: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
     return h[at[low]], low, high, at[low]
 
 
-def _sampled(length: int):
+def _sampled(length: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            raw = b"".join(r for *_, r in held)
-            ends = np.cumsum([len(r) for *_, r in held])
+            raw = b"".join(k[2] for k in held)
+            ends = np.cumsum([len(k[2]) for k in held])
             bucket, low, high, at = samples(raw, ends, length)
             rank = np.array([xxhash.xxh3_64_intdigest(raw[a : b + length], seed=c - a) for a, b, c in zip(low.tolist(), high.tolist(), at.tolist(), strict=True)], np.uint64)
             text = np.searchsorted(ends, low, side="right")
-            base = (ends - [len(r) for *_, r in held])[text]
+            base = (ends - [len(k[2]) + k[3] for k in held])[text]
             key = np.array([k[:2] for k in held], np.int64)[text].reshape(-1, 2)
             return pa.RecordBatch.from_pydict(
                 {"text_hi": key[:, 0], "text_lo": key[:, 1], "bucket": bucket.view(np.int64), "rank": rank.view(np.int64), "low": (low - base).astype(np.int32), "high": (high - base).astype(np.int32), "anchor": (at - base).astype(np.int32)}
@@ -97,12 +97,12 @@ def _sampled(length: int):
 
         for batch in batches:
             for hi, lo, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(raw) >= length:
-                    held.append((hi, lo, raw))
-                    size += len(raw)
-                if size >= BATCH_BYTES:
-                    yield flush()
-                    held, size = [], 0
+                for at in range(0, len(raw) - length + 1, batch_bytes):  # pieces share no start of a string
+                    held.append((hi, lo, raw[at : at + batch_bytes + length - 1], at))
+                    size += len(held[-1][2])
+                    if size >= batch_bytes:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -214,14 +214,14 @@ def _removed(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", bucket_ranks: int = BUCKET_RANKS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", bucket_ranks: int = BUCKET_RANKS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; ``spans`` has the start and end of each removed run in turn."""
     spark = docs.sparkSession
     text_batches(spark)
     n = partitions(spark)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", F.xxhash64("raw").alias("text_hi"), F.xxhash64("raw", F.lit(7)).alias("text_lo"), "raw")
-    found = whole.select("text_hi", "text_lo", "raw").mapInArrow(_sampled(length), SAMPLES)
+    found = whole.select("text_hi", "text_lo", "raw").mapInArrow(_sampled(length, batch_bytes), SAMPLES)
     key = ["text_hi", "text_lo"]
     # Equal copies of a text are one text; how many there are shows in the count of its samples.
     found = written(found.groupBy("bucket", "rank", *key, "low", "high", "anchor").agg(F.count(F.lit(1)).alias("copies")), "samples")

@@ -42,11 +42,11 @@ def corpus(seed, length):
     return [(i if i != 7 else None, t) for i, t in enumerate(rows)] + [(3, rows[3])]
 
 
-@pytest.mark.parametrize("seed,length,ranks", [(1, 400, 10_000), (2, 64, 10_000), (3, 100, 1)])
-def test_against_brute_force(spark, seed, length, ranks):
+@pytest.mark.parametrize("seed,length,ranks,batch", [(1, 400, 10_000, 2 << 20), (2, 64, 10_000, 150), (3, 100, 1, 1000)])
+def test_against_brute_force(spark, seed, length, ranks, batch):
     rows = corpus(seed, length)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rank int")
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, length, bucket_ranks=ranks).collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, length, bucket_ranks=ranks, batch_bytes=batch).collect()]
     assert sorted(got, key=str) == brute(rows, length)
 
 
