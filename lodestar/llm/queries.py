@@ -72,5 +72,14 @@ ORACLE: dict[str, str] = {
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as plain from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(plain) as text_sha256
 from d window w as (partition by plain)
+""",
+    "op8_ngram_jaccard_join": r"""
+with recursive d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+g as (select r, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) end as g from d),
+s as (select r, len(g) as n, unnest(g) as x from g),
+p as (select a.r as u, b.r as v, any_value(a.n) as m, any_value(b.n) as n, count(*) as c from s a join s b on a.x = b.x and a.r <> b.r and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90 group by a.r, b.r),
+l as (select u, v from p where 100 * c >= 90 * (m + n - c)),
+reach as (select r as u, r as v from d union select reach.u, l.v from reach join l on reach.v = l.u)
+select g.doc_id, cast(len(g.g) as bigint) as n_shingles, case when len(g.g) = 0 then g.doc_id else min(o.doc_id) end as component_id from reach join g on g.r = reach.u join g o on o.r = reach.v group by g.r, g.doc_id, len(g.g)
 """,
 }
