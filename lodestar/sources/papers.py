@@ -81,7 +81,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 rows.append(_record(raw[start:] + "</PubmedArticle>"))
             except ET.ParseError:
-                rows.append({"failed": True})
+                rows.append(dict.fromkeys(names, "") | {"dates": [], "failed": True})
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -93,7 +93,7 @@ def pubmed_xml(spark: SparkSession, path: str, prefer_full_title: bool = False,
     rows = spark.read.text(path, lineSep="</PubmedArticle>").select("value").mapInPandas(_parse, RECORD).filter(~F.col("failed"))
     part = lambda k: (F.col("dates")[k]["y"], F.col("dates")[k]["m"], F.col("dates")[k]["d"])
     tidy = lambda c: plain_ascii(F.col(c), full=True)
-    lines = F.array_join(F.transform(F.split(unescaped("abstract"), "\n"), plain_ascii), "\n")
+    lines = F.array_join(F.transform(F.split(unescaped("abstract"), "\n"), lambda x: plain_ascii(x)), "\n")
     names = ("medline_ta", "journal_title") if not prefer_full_title else ("journal_title", "medline_ta")
     journal = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in names), F.lit(""))
     return rows.select(
