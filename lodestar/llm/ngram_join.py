@@ -9,7 +9,7 @@ Equal sets are one node. In a bucket every node is checked against the bucket's
 so a word that very many documents share sends one row a task. Verified links form components. Where a bucket still holds several
 components, blocks of its nodes are compared by the Hamming distance of one-bit-a-shingle sketches, a lower bound
 of the symmetric difference, and the pairs within the bound are verified. A pair that shares a bucket is thus verified or in one component already: the components are exact.
-Shingles are 64-bit hashes of their words.
+Shingles are 64-bit hashes of their words, and sets are named by 64-bit hashes of their shingles.
 
 Null and empty texts, and texts without words, have an empty set and no link. Repeated rows and null ids keep a row each.
 """
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,8 @@ ORDERS = 16
 BLOCK_NODES = 512
 
 MASK = (1 << 64) - 1
-WORDS = "bucket int, block long, keys binary, refs binary, ref long, doc_id long, n long, set_hi long, set_lo long"
-MEMBERS = "key long, ref long, center long"
+WORDS = "bucket int, keys binary, owners binary, sets binary, doc_id long, n long, node long"
+MEMBERS = "key long, node long, center long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +67,11 @@ def shingles(text: str, size: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
+def node_of(h: np.ndarray) -> int:
+    """The name of a set: a hash of 64 bits."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
 class Classes:
     """Size classes for a similarity in percent."""
 
@@ -149,12 +153,11 @@ def _sketch(size: int, percent: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes = _Hashes(), Classes(percent)
-        ref, held, seen, keys, owners, docs = TaskContext.get().partitionId() << 40, 0, set(), [], [], []
+        held, seen, keys, owners, docs = 0, set(), [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if docs:
-                sets = np.frombuffer(b"".join(d[3] for d in docs), np.int64).reshape(-1, 2)
-                yield batch(ref=[d[0] for d in docs], doc_id=[d[1] for d in docs], n=[d[2] for d in docs], set_hi=sets[:, 0], set_lo=sets[:, 1])
+                yield batch(doc_id=[d[0] for d in docs], n=[d[1] for d in docs], node=[d[2] for d in docs])
             if keys:
                 key = np.concatenate(keys)
                 own = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
@@ -164,16 +167,14 @@ def _sketch(size: int, percent: int, buckets: int):
                 bucket, key, own = bucket[order], key[order], own[order]
                 first = _runs(bucket.astype(np.uint64) << np.uint64(32) | key)
                 lead = first == np.arange(len(key))
-                shared = np.zeros(len(key), bool)
+                shared = ~lead
                 shared[first[~lead]] = True
-                shared |= ~lead
                 if shared.any():  # members of a task's own groups, as bucket -1
-                    at = np.flatnonzero(shared)
-                    yield batch(bucket=[-1], block=[ref], keys=[_z(bucket[at] << 32 | key[at].astype(np.int64))], refs=[_z(np.stack([own[at], own[first[at]]]).ravel())])
+                    yield batch(bucket=[-1], keys=[_z(bucket[shared] << 32 | key[shared].astype(np.int64))], owners=[_z(own[shared])], sets=[_z(own[first[shared]])])
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1]]))
                 for b, k, o in zip(bucket[lead][cuts], np.split(key[lead], cuts[1:]), np.split(own[lead], cuts[1:]), strict=True):
-                    low = int(o.min())
-                    yield batch(bucket=[int(b)], block=[low], keys=[_z(np.diff(k.astype(np.uint32), prepend=np.uint32(0)))], refs=[_z((o - low).astype(np.uint32))])
+                    sets, at = np.unique(o, return_inverse=True)
+                    yield batch(bucket=[int(b)], keys=[_z(np.diff(k.astype(np.uint32), prepend=np.uint32(0)))], owners=[_z(at.astype(np.uint32))], sets=[_z(sets)])
             seen.clear()
             keys.clear()
             owners.clear()
@@ -182,14 +183,13 @@ def _sketch(size: int, percent: int, buckets: int):
         for b in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingles(text, size, hashes) if text else np.zeros(0, np.uint64)
-                mark = xxhash.xxh3_128_digest(h.tobytes())
-                docs.append((ref, doc_id, len(h), mark))
+                mark = node_of(h)
+                docs.append((doc_id, len(h), mark))
                 if len(h) and mark not in seen:
                     seen.add(mark)
                     keys.append(sketch_keys(h, classes))
-                    owners.append(ref)
+                    owners.append(mark)
                     held += len(h)
-                ref += 1
             if held > BLOCK_SHINGLES:
                 yield from flush()
                 held = 0
@@ -199,26 +199,27 @@ def _sketch(size: int, percent: int, buckets: int):
 
 
 def _members(table: pa.Table) -> pa.Table:
-    """A bucket: the rows of every key that two documents or more have."""
+    """A bucket: the rows of every key that two sets or more have."""
     bucket = table.column("bucket")[0].as_py()
-    key, ref = [], []
-    for b, k, r in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "refs")), strict=True):
+    key, own = [], []
+    for k, o, s in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "sets")), strict=True):
         key.append(np.cumsum(_unz(k, np.uint32), dtype=np.uint32).astype(np.int64))
-        ref.append(_unz(r, np.uint32).astype(np.int64) + b)
-    key, ref = np.concatenate(key), np.concatenate(ref)
-    order = np.lexsort((_turn(key, ref), key))
-    key, ref = key[order], ref[order]
+        own.append(_unz(s, np.int64)[_unz(o, np.uint32)])
+    key, own = np.concatenate(key), np.concatenate(own)
+    order = np.lexsort((own, _turn(key, own), key))
+    key, own = key[order], own[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])  # equal sets of several tasks are one
+    key, own = key[new], own[new]
     first = _runs(key)
     many = first != np.arange(len(key))
     many[first[many]] = True
-    return pa.table({"key": bucket << 32 | key[many], "ref": ref[many], "center": ref[first[many]]})
+    return pa.table({"key": bucket << 32 | key[many], "node": own[many], "center": own[first[many]]})
 
 
 def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            refs = _unz(r, np.int64).reshape(2, -1)
-            yield pa.RecordBatch.from_pydict({"key": _unz(k, np.int64), "ref": refs[0], "center": refs[1]})
+        for columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_pydict(dict(zip(("key", "node", "center"), (_unz(c, np.int64) for c in columns), strict=True)))
 
 
 def _shingled(size: int):
@@ -226,8 +227,7 @@ def _shingled(size: int):
         hashes = _Hashes()
         for batch in batches:
             sets = [shingles(t, size, hashes) for t in batch.column(0).to_pylist()]
-            marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"set_hi": marks[:, 0], "set_lo": marks[:, 1], "shingles": pa.array([h.tobytes() for h in sets], pa.binary()), "bits": pa.array([bit_sketch(h) for h in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()), "bits": pa.array([bit_sketch(h) for h in sets], pa.binary())})
 
     return run
 
@@ -312,29 +312,25 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: st
     n = partitions(spark)
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = written(whole.mapInArrow(_sketch(size, percent, n), WORDS), "parity-words")
-    rows = table.filter("bucket is null").select("ref", "doc_id", "n", "set_hi", "set_lo")
-    node_of = rows.groupBy("set_hi", "set_lo", "n").agg(F.min("ref").alias("node"), F.min("doc_id").alias("least"))
-    named = written(rows.join(node_of, ["set_hi", "set_lo", "n"]).select("ref", "doc_id", "n", "node", "least", "set_hi", "set_lo"), "nodes")
-    words = table.filter("bucket >= 0").select("bucket", "block", "keys", "refs")
-    found = words.groupBy("bucket").applyInArrow(_members, MEMBERS).unionByName(table.filter("bucket = -1").select("keys", "refs").mapInArrow(_own_members, MEMBERS))
-    ids = named.select("ref", "node")
-    found = found.join(ids, "ref").select("key", "node", F.col("center").alias("ref")).join(ids.withColumnRenamed("node", "center"), "ref")
-    found = written(found.select("key", "node", "center").distinct(), "members")
+    named = table.filter("bucket is null").select("doc_id", "n", "node")
+    shared = table.filter("bucket >= 0").select("bucket", "keys", "owners", "sets").groupBy("bucket").applyInArrow(_members, MEMBERS)
+    own = table.filter("bucket = -1").select("keys", "owners", "sets").mapInArrow(_own_members, MEMBERS)
+    found = written(shared.unionByName(own), "members")
     pairs = found.filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = named.filter("ref = node").join(nodes, "node", "left_semi").select("node", "doc_id", "n", "set_hi", "set_lo")
+    wanted = named.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
     texts = whole.alias("w").join(wanted.select("doc_id").distinct().alias("c"), F.expr("w.doc_id <=> c.doc_id"), "left_semi").select("text")
-    again = texts.mapInArrow(_shingled(size), "set_hi long, set_lo long, shingles binary, bits binary")
-    sets = again.join(wanted, ["set_hi", "set_lo"]).groupBy("node", "n").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    again = texts.mapInArrow(_shingled(size), "node long, shingles binary, bits binary")
+    sets = again.join(wanted.select("node", "n"), "node").groupBy("node", "n").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     sets = written(sets, "sets")
     links = written(_verified(pairs, sets, percent), "links")
     members = found.select("key", "node").unionByName(found.select("key", F.col("center").alias("node"))).distinct()
-    members = members.join(nodes, "node", "left_semi")
+    members = members.join(nodes, "node", "left_semi")  # all but those that stand alone with themselves
     more = written(_rest(members, components(links), sets, percent), "rest")
     links = links.unionByName(_verified(more, sets, percent, bounded=True))
     label = components(links).select(F.col("node"), F.col("component"))
     out = named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = out.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = out.join(least, "component")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
