@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, text_batches, written
@@ -33,11 +33,13 @@ BLOCK_SHINGLES = 4_000_000
 KNOWN_WORDS = 1 << 20
 #: Centers that the buckets of one group of documents may have.
 ORDERS = 16
+#: Bits of the filter for a second reading of texts: 2 MB.
+FILTER_BITS = 1 << 24
 #: Nodes of a bucket that are compared at a time.
 BLOCK_NODES = 512
 
 MASK = (1 << 64) - 1
-WORDS = "bucket int, keys binary, owners binary, sets binary, doc_id long, n long, node long"
+WORDS = "bucket int, keys binary, owners binary, sets binary, doc_id long, n long, node long, bits binary"
 MEMBERS = "key long, node long, center long"
 
 
@@ -157,7 +159,7 @@ def _sketch(size: int, percent: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if docs:
-                yield batch(doc_id=[d[0] for d in docs], n=[d[1] for d in docs], node=[d[2] for d in docs])
+                yield batch(doc_id=[d[0] for d in docs], n=[d[1] for d in docs], node=[d[2] for d in docs], bits=[d[3] for d in docs])
             if keys:
                 key = np.concatenate(keys)
                 own = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
@@ -184,7 +186,7 @@ def _sketch(size: int, percent: int, buckets: int):
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingles(text, size, hashes) if text else np.zeros(0, np.uint64)
                 mark = node_of(h)
-                docs.append((doc_id, len(h), mark))
+                docs.append((doc_id, len(h), mark, bit_sketch(h) if len(h) else b""))
                 if len(h) and mark not in seen:
                     seen.add(mark)
                     keys.append(sketch_keys(h, classes))
@@ -222,14 +224,31 @@ def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(dict(zip(("key", "node", "center"), (_unz(c, np.int64) for c in columns), strict=True)))
 
 
-def _shingled(size: int):
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of the ``node, doc_id`` wanted, by a second reading of the texts.
+
+    A filter of ``FILTER_BITS`` bits over the wanted ids is broadcast, so tasks work on few texts and no text is shuffled; what else passes is dropped by the join.
+    """
+    words = nodes.select(_slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        table[r.word] = r.mask
+    sent = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, held = _Hashes(), sent.value
         for batch in batches:
-            sets = [shingles(t, size, hashes) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()), "bits": pa.array([bit_sketch(h) for h in sets], pa.binary())})
+            slot = batch.column(0).to_numpy().astype(np.int64)
+            there = held[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1
+            sets = [shingles(t, size, hashes) for t in batch.column(1).filter(pa.array(there)).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary())})
 
-    return run
+    again = docs.select(_slot("doc_id").alias("slot"), "text").mapInArrow(run, "node long, shingles binary")
+    return again.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(percent: int):
@@ -259,13 +278,18 @@ def _within(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """Those of the ``u, v`` pairs whose sets are similar enough: first by the sketches' bound, then by the sets."""
-    if not bounded:
-        a, b = (sets.select(F.col("node").alias(x), F.col("bits").alias(y), F.col("n").alias(z)) for x, y, z in (("u", "a", "m"), ("v", "b", "n")))
-        pairs = written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "m", "n").mapInArrow(_within(percent), "u long, v long"), "bounded")
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``u, v`` pairs that the sketches don't rule out."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("bits").alias(y), F.col("n").alias(z)) for x, y, z in (("u", "a", "m"), ("v", "b", "n")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "m", "n").mapInArrow(_within(percent), "u long, v long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the ``u, v`` pairs whose sets are similar enough."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = written(_sets(docs, nodes.select("node", "doc_id").join(ends, "node", "left_semi"), size), "sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked(percent), "u long, v long")
+    return written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linked(percent), "u long, v long"), "links")
 
 
 def _near(percent: int):
@@ -289,11 +313,12 @@ def _near(percent: int):
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs still to verify, in buckets that hold several components."""
     told = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
-    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), *marks).filter("low < high")
+    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), *marks)
+    mixed = mixed.filter("low < high and size > 2")  # the one pair of two nodes has been looked at
     # Buckets of the same nodes are one.
     mixed = mixed.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key"))
     # Members of a bucket fall into blocks by hash; each pair of blocks is a group of its own.
@@ -301,7 +326,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     dealt = told.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(sets.select("node", "n", "bits"), "node")
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(nodes.select("node", "n", "bits"), "node")
     return dealt.groupBy("key", "x", "y").applyInArrow(_near(percent), "u long, v long").distinct()
 
 
@@ -313,22 +338,16 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: st
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = written(whole.mapInArrow(_sketch(size, percent, n), WORDS), "parity-words")
     named = table.filter("bucket is null").select("doc_id", "n", "node")
+    nodes = table.filter("bucket is null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    nodes = written(nodes, "nodes")
     shared = table.filter("bucket >= 0").select("bucket", "keys", "owners", "sets").groupBy("bucket").applyInArrow(_members, MEMBERS)
     own = table.filter("bucket = -1").select("keys", "owners", "sets").mapInArrow(_own_members, MEMBERS)
     found = written(shared.unionByName(own), "members")
     pairs = found.filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = named.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
-    texts = whole.alias("w").join(wanted.select("doc_id").distinct().alias("c"), F.expr("w.doc_id <=> c.doc_id"), "left_semi").select("text")
-    again = texts.mapInArrow(_shingled(size), "node long, shingles binary, bits binary")
-    sets = again.join(wanted.select("node", "n"), "node").groupBy("node", "n").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
-    sets = written(sets, "sets")
-    links = written(_verified(pairs, sets, percent), "links")
+    links = _verified(whole, written(_bounded(pairs, nodes, percent), "pairs"), nodes, size, percent)
     members = found.select("key", "node").unionByName(found.select("key", F.col("center").alias("node"))).distinct()
-    members = members.join(nodes, "node", "left_semi")  # all but those that stand alone with themselves
-    more = written(_rest(members, components(links), sets, percent), "rest")
-    links = links.unionByName(_verified(more, sets, percent, bounded=True))
+    more = written(_rest(members, components(links), nodes, percent), "rest")
+    links = links.unionByName(_verified(whole, more, nodes, size, percent))
     label = components(links).select(F.col("node"), F.col("component"))
     out = named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
