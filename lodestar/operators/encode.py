@@ -1,24 +1,56 @@
-"""Text to codes. An encoder is any function of a text column to limb columns; real models come as pandas UDFs."""
+"""Text to codes. An encoder is any function of a text column to limb columns; real models come as pandas UDFs in the same way."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+#: Words whose bits a worker remembers.
+KNOWN_WORDS = 1 << 16
+
+
+class _Bits:
+    """The bits of words, as rows of one matrix."""
+
+    def __init__(self, limbs: int):
+        self.limbs, self.rows, self.table = limbs, {}, np.zeros((1024, 64 * limbs), np.int8)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) > KNOWN_WORDS:
+            self.rows = {}
+        for w in words:
+            if w not in self.rows:
+                n = self.rows[w] = len(self.rows)
+                if n == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[n] = np.unpackbits(np.frombuffer(hashlib.blake2b(w.encode(), digest_size=8 * self.limbs).digest(), np.uint8))
+        return self.table[[self.rows[w] for w in words]]
+
+
+@cache
+def _encoder(limbs: int):
+    def encode(texts: pd.Series) -> pd.Series:
+        bits, out = _Bits(limbs), []
+        for text in texts:
+            words = re.findall(r"\w+", (text or "").lower())
+            votes = 2 * bits.of(words).sum(axis=0, dtype=np.int64) > len(words) if words else np.zeros(64 * limbs, bool)
+            out.append(np.packbits(votes).view(">i8").astype(np.int64).tolist())
+        return pd.Series(out)
+
+    return F.pandas_udf(encode, ArrayType(LongType()))
 
 
 def hashed_code(text: Column, limbs: int = 1) -> list[Column]:
-    """A deterministic stand-in for a model: each bit is the sign of the sum of that bit over the hashes of the words. Built-in expressions only."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
-    out = []
-    for k in range(limbs):
-        sums = F.aggregate(
-            F.transform(words, lambda w: F.xxhash64(w, F.lit(k))),
-            F.array_repeat(F.lit(0), 64),
-            lambda a, h: F.transform(a, lambda v, i: v + F.getbit(h, F.lit(63) - i) * 2 - 1),
-        )
-        bits = F.transform(sums, lambda v, i: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")))
-        out.append(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)).alias(f"c{k}"))
-    return out
+    """A deterministic stand-in for a model: each bit is the majority of that bit over the hashes of the words; no words give no bits."""
+    code = _encoder(limbs)(text)
+    return [F.get(code, k).alias(f"c{k}") for k in range(limbs)]
 
 
 def encoded(rows: DataFrame, text: Column, encoder=hashed_code, **options) -> DataFrame:
@@ -31,4 +63,3 @@ def query_code(spark, text: str, encoder=hashed_code, prefix: str = "", **option
         raise ValueError("a query has 8192 characters at most")
     row = spark.range(1).select(F.lit(prefix + text.strip()).alias("t")).select(*encoder(F.col("t"), **options)).first()
     return list(row)
-
