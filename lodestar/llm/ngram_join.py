@@ -33,6 +33,8 @@ BLOCK_SHINGLES = 4_000_000
 KNOWN_WORDS = 1 << 20
 #: Centers that the buckets of one group of documents may have.
 ORDERS = 16
+#: Buckets by which two nodes find out where they meet first.
+LOWS = 16
 #: Bits of the filter for a second reading of texts: 2 MB.
 FILTER_BITS = 1 << 24
 #: Nodes of a bucket that are compared at a time.
@@ -302,10 +304,13 @@ def _near(percent: int):
         left, right = ([r for r in rows if r["side"] in (s, 2)] for s in (0, 1))
         if left and right:
             node, comp, n = (np.array([r[c] for r in right], np.int64) for c in ("node", "component", "n"))
+            key, lows = rows[0]["key"], [set(r["lows"]) for r in right]
             bits = np.stack([folded(r["bits"], size) for r in right])
             for r in left:
                 apart = np.bitwise_count(bits ^ folded(r["bits"], size)).sum(axis=1, dtype=np.int64)
                 hit = (comp != r["component"]) & (apart <= np.minimum(n, r["n"]) * (100 - percent) // percent) & ((node > r["node"]) | (r["side"] != 2))
+                mine = set(r["lows"])
+                hit = np.array([j for j in np.flatnonzero(hit).tolist() if min(mine & lows[j], default=key) == key], np.int64)  # told in one bucket
                 u.append(np.minimum(node[hit], r["node"]))
                 v.append(np.maximum(node[hit], r["node"]))
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
@@ -323,10 +328,13 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     mixed = mixed.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key"))
     # Members of a bucket fall into blocks by hash; each pair of blocks is a group of its own.
     blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
-    dealt = told.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    told = written(told.join(mixed.select("key", blocks.alias("blocks")), "key"), "mixed")
+    # A pair that shares several buckets is told in the first that is among the lowest of both.
+    lows = told.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWS).alias("lows"))
+    dealt = told.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(nodes.select("node", "n", "bits"), "node")
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "side", "node", "component").join(nodes.select("node", "n", "bits").join(lows, "node"), "node")
     return dealt.groupBy("key", "x", "y").applyInArrow(_near(percent), "u long, v long").distinct()
 
 
