@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage calls one operator on what the one before it kept.
 
 Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``. Tables beside the documents (``labels``, ``benchmark``) are read from ``sf_dir``.
-Rows without an id take part in every stage: they are neither labelled nor dropped for an id.
+Rows are judged and dropped by id and text, so a row without an id, or with the id of another, shares the fate of its own text only.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import text_key, written
 from lodestar.llm.decontamination import decontamination
 from lodestar.llm.mixing import mixed
-from lodestar.llm.ngram_join import ngram_components
+from lodestar.llm.ngram_join import ngram_rows
 from lodestar.llm.sharding import sharded
 from lodestar.llm.toxicity import toxicity
 
@@ -20,25 +20,36 @@ from lodestar.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids``, a column ``drop_id``."""
-    return docs.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left_anti").select(*docs.columns)
+def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` with a column ``its_key``, joined to ``rows`` (``doc_id, key``) of the same id and text."""
+    rows = rows.select(F.col("doc_id").alias("that_id"), F.col("key").alias("that_key")).distinct()
+    return docs.select("*", text_key().alias("its_key")).join(rows, F.col("doc_id").eqNullSafe(F.col("that_id")) & (F.col("its_key") == F.col("that_key")), how)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return _matched(docs, rows, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.filter("predicted = 1").select(F.col("doc_id").alias("drop_id")))
+    scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=text_key())
+    return _without(docs, scores.filter("predicted = 1"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
-    found = ngram_components(docs, size=5, percent=80)
-    return _without(docs, found.filter("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")))
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays; of those without an id, or with the same, one. Texts without words are no copies."""
+    rows = written(ngram_rows(docs, size=5, percent=80, key=text_key()).filter("n > 0").select("doc_id", "key", "component"), "near-copies")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    groups = rows.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    told = rows.join(groups, "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    # Rows of one id and text can't be told apart: one of them is taken.
+    repeated = told.filter("first").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    ones = _matched(docs, repeated, "left_semi").groupBy("doc_id", "its_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return _without(docs, told.filter("not first").select("doc_id", "key").unionByName(repeated.select("doc_id", "key"))).unionByName(ones)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("drop_id")))
+    found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=text_key())
+    return _without(docs, found.filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def squeezed(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS, " ")
 
 
+def text_key(text: str = "text") -> Column:
+    """A name of 16 bytes for the text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def word_array(text: str | Column) -> Column:
     """Words of the text, in order; none for an empty or null one."""
     return F.filter(F.split(squeezed(text), " "), lambda w: w != "")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
@@ -190,11 +190,11 @@ class Benchmark:
         return other if agree >= SHARE * len(slots) else None
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``doc_id, items, reparameterised, contaminated`` for every row of ``docs``: the ``item_id`` of the items it holds, and of those with other values. ``benchmark`` has ``item_id, text``."""
+def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block_windows: int = BLOCK_WINDOWS, key: Column | None = None) -> DataFrame:
+    """``doc_id, items, reparameterised, contaminated`` for every row of ``docs``: the ``item_id`` of the items it holds, and of those with other values; and ``key`` where one is given: a binary column to carry along. ``benchmark`` has ``item_id, text``."""
     spark = docs.sparkSession
     text_batches(spark)
-    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("items"), F.lit(None).cast("array<long>").alias("other"))
+    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("items"), F.lit(None).cast("array<long>").alias("other"), (F.lit(None).cast("binary") if key is None else key).alias("key"))
     block, size = [], 0
 
     def probe(before: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -208,9 +208,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
                     new = table.found(t, templates)
                     items.append((i or []) + [x for x, _ in new])
                     other.append((o or []) + [x for x, changed in new if changed])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["doc_id", "text", "items", "other"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64())), batch.column(4)], ["doc_id", "text", "items", "other", "key"])
 
-        return before.mapInArrow(run, "doc_id long, text string, items array<long>, other array<long>")
+        return before.mapInArrow(run, "doc_id long, text string, items array<long>, other array<long>, key binary")
 
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("t")).filter("t is not null").toLocalIterator():
         block.append(tuple(row))
@@ -220,5 +220,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
     if block:
         held = probe(held, block)
     tidy = lambda c: F.sort_array(F.array_distinct(F.coalesce(c, F.array().cast("array<long>"))))
-    out = held.select("doc_id", tidy(F.col("items")).alias("items"), tidy(F.col("other")).alias("reparameterised"))
-    return out.withColumn("contaminated", F.size("items") > 0)
+    out = held.select("doc_id", tidy(F.col("items")).alias("items"), tidy(F.col("other")).alias("reparameterised"), (F.size(tidy(F.col("items"))) > 0).alias("contaminated"), "key")
+    return out if key is not None else out.drop("key")

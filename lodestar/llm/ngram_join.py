@@ -41,7 +41,7 @@ FILTER_BITS = 1 << 24
 BLOCK_NODES = 512
 
 MASK = (1 << 64) - 1
-WORDS = "bucket int, keys binary, owners binary, sets binary, doc_id long, n long, node long, bits binary"
+WORDS = "bucket int, keys binary, owners binary, sets binary, doc_id long, n long, node long, bits binary, carried binary"
 MEMBERS = "key long, node long, center long"
 
 
@@ -161,7 +161,7 @@ def _sketch(size: int, percent: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if docs:
-                yield batch(doc_id=[d[0] for d in docs], n=[d[1] for d in docs], node=[d[2] for d in docs], bits=[d[3] for d in docs])
+                yield batch(doc_id=[d[0] for d in docs], n=[d[1] for d in docs], node=[d[2] for d in docs], bits=[d[3] for d in docs], carried=[d[4] for d in docs])
             if keys:
                 key = np.concatenate(keys)
                 own = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
@@ -185,10 +185,10 @@ def _sketch(size: int, percent: int, buckets: int):
             docs.clear()
 
         for b in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, text, carried in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingles(text, size, hashes) if text else np.zeros(0, np.uint64)
                 mark = node_of(h)
-                docs.append((doc_id, len(h), mark, bit_sketch(h) if len(h) else b""))
+                docs.append((doc_id, len(h), mark, bit_sketch(h) if len(h) else b"", carried))
                 if len(h) and mark not in seen:
                     seen.add(mark)
                     keys.append(sketch_keys(h, classes))
@@ -338,14 +338,14 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     return dealt.groupBy("key", "x", "y").applyInArrow(_near(percent), "u long, v long").distinct()
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row; a component's id is its smallest ``doc_id``."""
+def ngram_rows(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """``doc_id, key, n, node, component`` for every row: its number of shingles, the name of their set and the smallest name that links reach; ``key`` is a binary column to carry along."""
     spark = docs.sparkSession
     text_batches(spark)
     n = partitions(spark)
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(None).cast("binary") if key is None else key).alias("carried"))
     table = written(whole.mapInArrow(_sketch(size, percent, n), WORDS), "parity-words")
-    named = table.filter("bucket is null").select("doc_id", "n", "node")
+    named = table.filter("bucket is null").select("doc_id", F.col("carried").alias("key"), "n", "node")
     nodes = table.filter("bucket is null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     nodes = written(nodes, "nodes")
     shared = table.filter("bucket >= 0").select("bucket", "keys", "owners", "sets").groupBy("bucket").applyInArrow(_members, MEMBERS)
@@ -357,7 +357,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: st
     more = written(_rest(members, components(links), nodes, percent), "rest")
     links = links.unionByName(_verified(whole, more, nodes, size, percent))
     label = components(links).select(F.col("node"), F.col("component"))
-    out = named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return named.join(label, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row; a component's id is its smallest ``doc_id``."""
+    out = ngram_rows(docs, size, percent, text, doc_id)
     least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = out.join(least, "component")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

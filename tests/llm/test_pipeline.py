@@ -35,3 +35,47 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert kept[3] <= kept[2] and now.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in now.collect())
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    nice = "river stone cloud paper tree glass road light".split()
+    item = "which gas do green plants take from the air when bright sun shines on their leaves"
+    unique = lambda k: " ".join(f"{nice[(k + i) % 8]}{k}x{i}" for i in range(30))
+    rows, labels = [], []
+    for i in range(120):
+        rows.append((i, unique(i) + (" blockhead" if i % 6 == 0 else ""), "en", f"s{i % 4}", 0))
+        labels.append((i, 0, int(i % 6 == 0)))
+    toxic = [(None, unique(500) + " blockhead", "en", "s1", 0), (7, unique(501) + " blockhead", "en", "s1", 0)]
+    clean = [(None, unique(502), "en", "s1", 0), (None, unique(503), "en", None, 0), (None, None, "en", "s2", 0), (None, "", "en", "s2", 0), (None, "", "en", "s2", 0), (8, unique(504), "en", "s1", 0)]
+    copies = [(None, unique(510), "en", "s1", 0)] * 3 + [(None, unique(510) + " more", "en", "s1", 0), (8, unique(511), "en", "s2", 0), (8, unique(511) + " more", "en", "s1", 0), (9, unique(9) + " more", "en", "s1", 0)]
+    leaks = [(None, unique(520) + " " + item, "en", "s1", 0), (10, unique(521) + " " + item, "en", "s1", 0)]
+    repeats = [(11, unique(11), "en", "s9", 1), (300, unique(530), "en", "s1", 0), (300, unique(530), "en", "s1", 0)]
+    rows += toxic + clean + copies + leaks + repeats
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(k, now):
+        corpus_pipeline.STAGES[k][1](spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        return now, sorted((tuple(r) for r in now.collect()), key=str)
+
+    now, kept = after(0, spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = [r for r in rows if "blockhead" not in (r[1] or "")]
+    assert kept == sorted(want, key=str)
+    now, kept = after(1, now)
+    ids = {i: sorted((r for r in kept if r[0] == i), key=str) for i in (8, 9, 11, 300)}
+    assert [len(ids[i]) for i in (9, 11, 300)] == [1, 1, 1] and len(ids[8]) == 3
+    assert ids[11] == [rows[11]]  # of equal id and text, the first by the other columns
+    null = [r for r in kept if r[0] is None]
+    assert [r for r in null if r[1] in (None, "")] == [r for r in sorted(clean, key=str) if r[0] is None and r[1] in (None, "")]
+    assert sum(r[1] is not None and r[1].startswith(unique(510)) for r in null) == 1 and len(null) == 5 + 1 + 1
+    assert {r[1] for r in clean} <= {r[1] for r in kept} and len(kept) == len(want) - 3 - 1 - 1 - 1 - 1
+    now, kept2 = after(2, now)
+    assert kept2 == [r for r in kept if item not in (r[1] or "")] and len(kept2) == len(kept) - 2
+    now, kept3 = after(3, now)
+    assert set(kept3) <= set(kept2)
+    now, kept4 = after(4, now)
+    assert len(kept4) == len(kept3)
