@@ -3,7 +3,8 @@
 Words are stripped of punctuation and lower-cased; numbers, quantities, units and names become typed placeholders whose values are
 kept as slots. Windows of five template words of the benchmark are hashed; whole documents are probed window by window. An item is found where
 some stretch of the document, at most twice as long as the item, holds 80 % of its windows or more and the slots are consistent: each value of the item
-stands for one value of the document and no two for the same one. The values may be others than the item's: a re-parameterised question.
+stands for one value of the document and no two for the same one. Every longest stretch is tried, aligned by its most common shift and by each other one, and an item's own values come before others.
+The first word of an item matches the same word in a document whether or not it counts as a name there. The values may be others than the item's: a re-parameterised question.
 An item with fewer than three ordinary words must come with its own values.
 
 The benchmark is probed in blocks of a bounded number of windows, each broadcast; documents are never shuffled, and every item meets every document.
@@ -128,6 +129,10 @@ class Benchmark:
             owner += [len(self.items)] * len(w)
             place += range(len(w))
             hashes.append(w)
+            if kind[0] == LITERAL:  # a first word that is capitalised inside a document's sentence counts as a name there
+                owner.append(len(self.items))
+                place.append(-1)
+                hashes.append(windows(np.concatenate([np.array([NAME], np.uint64), code[1:WINDOW]])))
             self.items.append((item_id, len(code), len(np.unique(w)), kind.tolist(), [templates.value(i) for i in ids]))
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
@@ -148,7 +153,9 @@ class Benchmark:
                 j = low[at]
                 while j < len(self.hashes) and self.hashes[j] == w[at]:
                     if min(WINDOW, self.items[self.owner[j]][1]) == min(n, len(code)):
-                        hits.setdefault(int(self.owner[j]), []).append((int(at), int(self.place[j])))
+                        place = int(self.place[j])
+                        if place >= 0 or kind[at] == NAME and templates.value(ids[at]) == self.items[self.owner[j]][4][0]:
+                            hits.setdefault(int(self.owner[j]), []).append((int(at), max(place, 0)))
                     j += 1
         out = []
         for i, pairs in hits.items():
@@ -161,26 +168,50 @@ class Benchmark:
         if len({p for _, p in pairs}) < SHARE * distinct:
             return None
         pairs.sort()
-        best, low, inside = (0, 0, 0), 0, Counter()
+        at, place = np.array(pairs, np.int64).T
+        shift, width, found = at - place, min(WINDOW, length), None
+        few = sum(k == LITERAL for k in kinds) < 3
+        # An item that needs its own values is tried where some window has them.
+        same = {a - p for a, p in pairs if all(kinds[p + k] == LITERAL or templates.value(ids[a + k]) == values[p + k] for k in range(width))} if few else set()
+        for low, high in self._stretches(pairs, 2 * length, SHARE * distinct):
+            a, p, s = at[low:high], place[low:high], shift[low:high]
+            shifts, which, often = np.unique(s, return_inverse=True, return_counts=True)
+            ranks = [-often[which]]
+            if len(shifts) > 1:
+                ranks += [np.abs(s - x) for x in shifts[np.argsort(-often, kind="stable")] if not few or int(x) in same]
+            for rank in ranks:
+                order = np.argsort(rank, kind="stable")
+                words, first = np.unique((p[order, None] + np.arange(width)).ravel(), return_index=True)
+                match = zip(words.tolist(), (a[order, None] + np.arange(width)).ravel()[first].tolist(), strict=True)
+                slots = [(kinds[x], values[x], templates.value(ids[y])) for x, y in match if kinds[x] != LITERAL and kind[y] == kinds[x]]
+                other = self._consistent(slots, few)
+                if other is False:
+                    return False
+                found = found or other
+        return found
+
+    @staticmethod
+    def _stretches(pairs: list[tuple[int, int]], span: int, need: float) -> Iterator[tuple[int, int]]:
+        """Each longest run of sorted pairs that spans no more words and holds enough windows."""
+        low, inside = 0, Counter()
         for high, (at, place) in enumerate(pairs):
+            if at - pairs[low][0] > span:
+                if len(inside) >= need:
+                    yield low, high
+                while at - pairs[low][0] > span:
+                    inside[pairs[low][1]] -= 1
+                    if not inside[pairs[low][1]]:
+                        del inside[pairs[low][1]]
+                    low += 1
             inside[place] += 1
-            while at - pairs[low][0] > 2 * length:
-                inside[pairs[low][1]] -= 1
-                inside += Counter()
-                low += 1
-            best = max(best, (len(inside), -low, high + 1))
-        if best[0] < SHARE * distinct:
-            return None
-        stretch = pairs[-best[1] : best[2]]
-        shifts = Counter(at - place for at, place in stretch)
-        width = min(WINDOW, length)
-        match: dict[int, int] = {}
-        for at, place in sorted(stretch, key=lambda p: -shifts[p[0] - p[1]]):
-            for k in range(width):
-                match.setdefault(place + k, at + k)
-        slots = [(kinds[p], values[p], templates.value(ids[a])) for p, a in match.items() if kinds[p] != LITERAL and kind[a] == kinds[p]]
+        if len(inside) >= need:
+            yield low, len(pairs)
+
+    @staticmethod
+    def _consistent(slots: list[tuple[int, str, str]], few: bool) -> bool | None:
+        """Whether values are others; None where they contradict each other, or are others where the item's own are asked for."""
         other = any(v != d for _, v, d in slots)
-        if sum(k == LITERAL for k in kinds) < 3:
+        if few:
             return None if other else False
         votes, forward, back = Counter(slots), {}, {}
         agree = 0

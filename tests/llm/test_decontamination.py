@@ -52,3 +52,23 @@ def test_empty_tables(spark):
 def test_kinds():
     assert [classify(w)[0] for w in ("7,", "1,000", "3rd", "5kg", "20%", "miles.", "seven")] == [NUMBER, NUMBER, NUMBER, QUANTITY, QUANTITY, UNIT, NUMBER]
     assert classify("(House).")[1:] == ("house", True, True)
+
+
+def test_every_stretch_and_first_word(spark):
+    variant = ITEMS[0][1].replace("60 miles", "75 miles").replace("60 seconds", "91 seconds").replace(" 2 ", " 75 ")
+    items = [*ITEMS, (7, "Which gas do most green plants take from the air at noon"), (8, "Tiny two")]
+    rows = [
+        (1, "11 22 33 44 55 12 34 56 78 90", [6], []),
+        (2, "11 22 33 44 55 " + FILL * 9 + "12 34 56 78 90", [6], []),
+        (3, variant + " " + ITEMS[0][1], [1], []),
+        (4, " ".join([variant] * 5) + FILL + ITEMS[0][1] + " " + variant, [1], []),
+        (5, " ".join([variant] * 3), [], []),
+        (6, "and then\nTiny two words", [8], []),
+        (7, "and then\nBob two words", [], []),
+        (8, "Exam questions\n- Which gas do most green", [], []),
+        (9, "11 22 33 44 55 12 34 56 78 91", [], []),
+        (10, "Exam questions - Which gas do most green plants take from the air at", [7], []),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.items, r.reparameterised) for r in decontamination(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()}
+    assert got == {i: (a, b) for i, _, a, b in rows}
