@@ -9,7 +9,9 @@ import re
 from dataclasses import dataclass
 
 # Elements by the way in which they cut text.
-HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video datalist".split())
+HIDDEN = frozenset("title script style noscript template svg iframe object canvas audio video datalist".split())
+#: What a head can hold; any other tag or text ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound noframes script style noscript template head html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend label button select option textarea address details summary dialog hr center menu".split()
@@ -25,6 +27,24 @@ PIECE = re.compile(
 NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
+#: Tags that end an svg, unless they stand in a part of it that holds HTML.
+LEAVES_SVG = re.compile(r"<(?:(foreignobject|desc|title)|" + "|".join(sorted(P_ENDS | {"body", "br", "img", "span"})) + r")(?=[\s/>])", re.I)
+
+
+def hidden_end(page: str, tag: str, at: int) -> int:
+    """Where a hidden element that opened before ``at`` ends. Without an end tag only scripts and styles go on to the end of the page."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    if tag == "svg":
+        out = LEAVES_SVG.search(page, at, end.start() if end else len(page))
+        if out and (not out[1] or not end):
+            return out.start() if not out[1] else at
+    if end:
+        return end.end()
+    if tag in ("script", "style"):
+        return len(page)
+    more = page.find("<", at) if tag in ("title", "svg") else at
+    return len(page) if more < 0 else more
+
 
 @dataclass
 class Block:
@@ -49,6 +69,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     words: list[str] = []
     linked = link = at = 0
+    head = False
     path: tuple[str, ...] | None = None
 
     def flush() -> None:
@@ -67,17 +88,23 @@ def blocks(page: str) -> list[Block]:
         tag = m[3]
         if tag is None:
             raw = m[1] if m[1] is not None else "" if m[0][0] == "<" and len(m[0]) > 1 else m[0]
+            if head and not raw.strip():
+                continue
             if raw:
+                head = False
                 if path is None:
                     path = where()
                 words.append(raw)
                 linked += len(raw) if link else 0
             continue
         tag, closing = tag.lower(), bool(m[2])
+        if tag == "head":
+            head = not closing
+            continue
+        head = head and tag in IN_HEAD
         if tag in HIDDEN and not closing:
             if not m[4].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
-                at = len(page) if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
+                at = hidden_end(page, tag, at)
             words.append(" ")
         elif tag == "a":
             link = 0 if closing else 1

@@ -46,3 +46,22 @@ def test_gradients(name):
         sides.append(model.gradients(pages, labels)[0])
         model.w[name][at] -= e
     assert abs((sides[0] - sides[1]) / 0.02 - grads[name][at]) < 0.02 * abs(grads[name][at]) + 1e-4
+
+
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<head><title>T</title><p>Article<p>more", ["Article", "more"]),
+        ("<html><head><meta charset=x><style>p{}</style><title>T</title>\n<link rel=x>\n</head><body><p>a</body>", ["a"]),
+        ("<head><title>T</title>Plain text<p>b", ["Plain text", "b"]),
+        ("<p>a<svg><path d=x><p>b<p>c", ["a", "b", "c"]),
+        ("<p>a<svg><path d=x><p>b<svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+        ("<p>a <svg><foreignObject><div>no</div></foreignObject></svg> b", ["a b"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<p>b", ["let x=2 be", "b"]),
+        ("<p>a<math><mi>x</mi><p>b", ["ax", "b"]),
+        ("<p>a<noscript><p>b", ["a", "b"]),
+        ("<p>a<script>var b = '<p>no'", ["a"]),
+    ],
+)
+def test_left_out_end_tags(page, texts):
+    assert [b.text for b in blocks(page)] == texts
