@@ -1,6 +1,9 @@
 """Every query with SQL gives the SQL's rows on the smallest tables."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +51,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+BLOCKED = """
+import sys
+
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "lodestar.llm" or name.startswith("lodestar.llm.") or name in sys.argv[1:]:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+sys.meta_path.insert(0, Gone())
+import __spark_entry__
+assert not any(n == "pipeline" or n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries())
+assert len(__spark_entry__.oracle_sql()) > 40
+"""
+
+
+@pytest.mark.parametrize("gone", [(), ("corpus_pipeline",)])
+def test_entry_without_the_training_data_operators(gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", BLOCKED, *gone], cwd=root, check=True)
