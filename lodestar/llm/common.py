@@ -20,13 +20,15 @@ BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder is set once.
+    Where none is named, a local master (tests on one machine) gets a temporary folder, set once; a cluster is told to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = at.get() if at.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -39,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores after it as long as a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever they are called."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as one row may be a text of many megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -8,7 +8,7 @@ rows is many cells; a dozen documents of a cell, spread over its sizes, stay beh
 in the cells of a next round. In the last round these land by the choice that misses the words by least.
 
 Random numbers depend on source, round and cell only: reruns agree. Null and empty texts have size 0. A null source is a source of its own, last in order.
-Repeated rows and null ids are rows like any other.
+Repeated rows and null ids are rows like any other. An empty table has no rows. Texts of any length count by one expression; other columns are carried whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_row, text_key, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: All targets together, as a multiple of all words.
@@ -36,7 +36,7 @@ CELL_ROWS = 20_000
 LANDING = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
-ROW = "doc_id long, source string, size long, chance double, base int"
+ROW = "doc_id long, key binary, source string, size long, chance double, base int"
 EPS = 1e-9
 
 
@@ -104,27 +104,27 @@ def settled(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator, last
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    frame = table.to_pandas()
-    frame = frame.sort_values(["size", "dealt", "doc_id"], ascending=[False, True, True], kind="stable")
-    first = frame.iloc[0]
-    rng = np.random.default_rng(zlib.crc32(repr((first["source"], int(first["round"]), int(first["cell"]))).encode()))
-    size = frame["size"].to_numpy(np.int64)
-    frame["chance"] = settled(frame["chance"].to_numpy(float), size, rng, bool(first["last"]))
-    return pa.Table.from_pandas(frame[["doc_id", "source", "size", "chance", "base"]].astype({"doc_id": "Int64"}), schema=pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("chance", pa.float64()), ("base", pa.int32())]), preserve_index=False)
+    table = table.sort_by([("size", "descending"), ("dealt", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
+    source, turn, cell, last = (table.column(c)[0].as_py() for c in ("source", "round", "cell", "last"))
+    rng = np.random.default_rng(zlib.crc32(repr((source, turn, cell)).encode()))
+    chance = settled(table.column("chance").to_numpy(), table.column("size").to_numpy(), rng, last)
+    return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(chance)).select(["doc_id", "key", "source", "size", "chance", "base"])
 
 
-def mixing(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, bound: float = BOUND, text: str = "text", source: str = "source", doc_id: str = "doc_id", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``; ``taken`` is ``copies * size``."""
+def _dealt_out(docs: DataFrame, weights: Sequence[float], share: float, bound: float, text: str, source: str, doc_id: str, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, source, size, copies`` for every row, and the targets; ``key`` names the text."""
+    if cell_rows < 2 * (LANDING + 2):
+        raise ValueError(f"a cell has {2 * (LANDING + 2)} rows at least, as up to {LANDING + 2} stay behind")
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
     goal = written(targets(rows, weights, share, bound), "targets")
     same = F.col("r.source").eqNullSafe(F.col("g.source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + EPS).cast("int")
     # Sources are few beside rows; the merge join splits a source with very many rows.
-    now = rows.alias("r").join(goal.alias("g"), same).select("doc_id", F.col("r.source").alias("source"), "size", F.greatest(F.lit(0.0), rate - base).alias("chance"), base.alias("base"))
+    now = rows.alias("r").join(goal.alias("g"), same).select("doc_id", "key", F.col("r.source").alias("source"), "size", F.greatest(F.lit(0.0), rate - base).alias("chance"), base.alias("base"))
     done: list[DataFrame] = []
-    for turn in range(20):
+    for turn in itertools.count():
         open_ = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
         done.append(now.filter(~open_))
         now = now.filter(open_)
@@ -134,23 +134,36 @@ def mixing(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
         if not most:
             break
         dealt = now.alias("r").join(counts.select("source", cells.alias("cells")).alias("g"), same)
-        dealt = dealt.select("doc_id", F.col("r.source").alias("source"), "size", "chance", "base", "cells", F.xxhash64("doc_id", "size", F.lit(turn)).alias("dealt"))
+        dealt = dealt.select("doc_id", "key", F.col("r.source").alias("source"), "size", "chance", "base", "cells", F.xxhash64("doc_id", "key", F.lit(turn)).alias("dealt"))
         dealt = dealt.withColumn("cell", F.pmod("dealt", "cells").cast("int")).withColumn("last", F.col("cells") == 1).withColumn("round", F.lit(turn)).drop("cells")
         now = written(dealt.groupBy("source", "cell").applyInArrow(_cell, ROW), f"round-{turn}")
     taken = done[0]
     for part in done[1:]:
         taken = taken.unionByName(part)
     copies = (F.col("base") + (F.col("chance") > 0.5).cast("int")).cast("int")
-    out = taken.alias("r").join(goal.alias("g"), same)
-    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, bound: float = BOUND) -> DataFrame:
-    """The rows of ``docs`` (``doc_id, text, source``), each as often as the mix takes it. Rows that repeat an id are told apart by size and source."""
-    order = Window.partitionBy("doc_id")
-    taken = mixing(docs, weights, share, bound).select("doc_id", "source", "size", "copies")
-    taken = taken.withColumn("nth", F.row_number().over(order.orderBy("size", "source", "copies"))).select(F.col("doc_id").alias("mix_id"), F.col("nth").alias("mix_nth"), F.col("copies").alias("mix_copies"))
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", size.alias("size"), "source").withColumn("nth", F.row_number().over(order.orderBy("size", "source")))
-    both = named.join(taken.filter("mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("nth") == F.col("mix_nth")))
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
+    return taken.select("doc_id", "key", "source", "size", copies.alias("copies")), goal
+
+
+def mixing(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, bound: float = BOUND, text: str = "text", source: str = "source", doc_id: str = "doc_id", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``; ``taken`` is ``copies * size``."""
+    taken, goal = _dealt_out(docs, weights, share, bound, text, source, doc_id, cell_rows)
+    out = taken.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, bound: float = BOUND, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows of ``docs`` (``doc_id, text, source``), each as often as the mix takes it.
+
+    Texts are shuffled once. Rows of one id, text and source can't be told apart; they are numbered, and the first ones get the further copy.
+    """
+    taken, _ = _dealt_out(docs, weights, share, bound, "text", "source", "doc_id", cell_rows)
+    # Within a source a row is taken `low` times or once more, so a group of like rows is two numbers.
+    like = taken.groupBy("doc_id", "key", "source").agg(F.count(F.lit(1)).alias("rows"), F.min("copies").alias("low"), F.sum("copies").alias("all"))
+    like = like.filter("all > 0").select(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key"), F.col("source").alias("mix_source"), "rows", "low", (F.col("all") - F.col("low") * F.col("rows")).alias("more"))
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("source").cast("string").alias("source"))
+    both = named.join(like, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("key") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source")))
+    alone = both.filter("rows = 1").select("row", (F.col("low") + F.col("more")).alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key", "source").orderBy(F.to_json("row")))
+    again = both.filter("rows > 1").withColumn("nth", nth).select("row", (F.col("low") + (F.col("nth") <= F.col("more")).cast("long")).alias("copies"))
+    out = alone.unionByName(again).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

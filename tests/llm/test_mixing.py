@@ -55,6 +55,16 @@ def test_rows_are_repeated(spark):
     assert out.count() == want and out.exceptAll(df.unionAll(df)).count() == 0
 
 
+def test_large_and_null_ids_stay_exact(spark):
+    data = [(2**60 + i if i else None, "w " * (i % 7), "a") for i in range(70)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    assert sorted((str(r.doc_id) for r in mixing(df, cell_rows=30).collect())) == sorted(str(d[0]) for d in data)
+    nulls = spark.createDataFrame([(None, f"{i} w" * (i % 5), "ab"[i % 2], i) for i in range(80)] * 2, "doc_id long, text string, source string, copies int")
+    out = mixed(nulls, cell_rows=30)
+    assert out.columns == nulls.columns and out.count() == sum(r.copies for r in mixing(nulls, cell_rows=30).collect())
+    assert out.exceptAll(nulls.unionAll(nulls)).count() == 0
+
+
 def test_small_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing(none).collect() == []
