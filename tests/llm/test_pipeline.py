@@ -79,3 +79,20 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert set(kept3) <= set(kept2)
     now, kept4 = after(4, now)
     assert len(kept4) == len(kept3)
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    nice = "river stone cloud paper tree glass road light".split()
+    rows = [(i, " ".join(f"{nice[(i + k) % 8]}{i}x{k}" for k in range(30)) + (" blockhead" if i % 6 == 0 else ""), "en", f"s{i % 4}", 0) for i in range(90)]
+    clash = "row id key that_id that_key its_key drop_id copies rows low more all component best size merge_run path score predicted items contaminated".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(c).alias(c) for c in clash))
+    spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[1][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, now, want in (("full", docs, (75, 75, 74)), ("empty", docs.limit(0), (0, 0, 0))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            out = stage(spark, now, str(tmp_path))
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            now = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{name}{k}")
+            assert k == 3 or now.count() == want[k]
+        assert corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).count() == now.count()
