@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_key, written
+from lodestar.llm.common import as_row, text_key, written
 from lodestar.llm.decontamination import decontamination
 from lodestar.llm.mixing import mixed
 from lodestar.llm.ngram_join import ngram_rows
@@ -21,13 +21,14 @@ ORACLE_SQL = None
 
 
 def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``docs`` with a column ``its_key``, joined to ``rows`` (``doc_id, key``) of the same id and text."""
+    """``row, id, key`` of ``docs``, joined to ``rows`` (``doc_id, key``) of the same id and text."""
     rows = rows.select(F.col("doc_id").alias("that_id"), F.col("key").alias("that_key")).distinct()
-    return docs.select("*", text_key().alias("its_key")).join(rows, F.col("doc_id").eqNullSafe(F.col("that_id")) & (F.col("its_key") == F.col("that_key")), how)
+    named = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    return named.join(rows, F.col("id").eqNullSafe(F.col("that_id")) & (F.col("key") == F.col("that_key")), how)
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return _matched(docs, rows, "left_anti").select(*docs.columns)
+    return _matched(docs, rows, "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     told = rows.join(groups, "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
     # Rows of one id and text can't be told apart: one of them is taken.
     repeated = told.filter("first").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    ones = _matched(docs, repeated, "left_semi").groupBy("doc_id", "its_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    ones = _matched(docs, repeated, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return _without(docs, told.filter("not first").select("doc_id", "key").unionByName(repeated.select("doc_id", "key"))).unionByName(ones)
 
 
