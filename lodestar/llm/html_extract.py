@@ -6,7 +6,8 @@ every block as text or chrome, so a block is judged with all others in view. The
 driver on a fixed number of made-up pages (``TRAIN_PAGES``, a documented bound) and sent to the tasks; its size is fixed by ``Shape``.
 
 Scripts, styles, comments and the head hold no blocks. Character references are decoded, white space inside a block becomes one space (``br`` too), and blocks are joined
-by one newline. Null or empty html gives an empty text. Repeated rows and null ids keep a row each.
+by one newline. Null or empty html gives an empty text. Repeated rows and null ids keep a row each; other columns don't matter. An empty table gives none.
+Pages are worked on in chunks of bounded size, a longer one alone; besides its blocks it takes about 400 bytes for each of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ TRAIN_PAGES, EPOCHS, BATCH, SEED = 1500, 6, 25, 11
 #: Words whose hash is remembered.
 KNOWN_WORDS = 1 << 19
 NUMBERS = 8
+#: Blocks, padding included, that are run together; and steps whose input is multiplied at a time.
+PLACES, STEPS = 4096, 256
+#: Characters of pages that are cut into blocks at a time.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,19 +112,21 @@ class Labeller:
         a, b, c, d = slots
         return np.concatenate([self._means(self.w["path"], a, b), self._means(self.w["word"], c, d), numbers(page)], axis=1)
 
-    def _run(self, x: np.ndarray, k: str) -> tuple[np.ndarray, list]:
-        """One direction over (time, page, input); padding stands at the end of its time."""
+    def _run(self, x: np.ndarray, k: str, learn: bool) -> tuple[np.ndarray, list]:
+        """One direction over (time, page, input); padding stands at the end of its time. Gates are kept only to learn from them."""
         n, h = x.shape[1], self.shape.hidden
         state, cell, out, kept = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((len(x), n, h), np.float32), []
-        drive = x @ self.w[f"x{k}"] + self.w[f"b{k}"]
         for t in range(len(x)):
-            z = drive[t] + state @ self.w[f"h{k}"]
+            if t % STEPS == 0:
+                drive = x[t : t + STEPS] @ self.w[f"x{k}"] + self.w[f"b{k}"]
+            z = drive[t % STEPS] + state @ self.w[f"h{k}"]
             gates = _sigmoid(z[:, : 3 * h])
             i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(z[:, 3 * h :])
             before, cell = cell, f * cell + i * g
             past, state = state, o * np.tanh(cell)
             out[t] = state
-            kept.append((i, f, o, g, before, cell, past))
+            if learn:
+                kept.append((i, f, o, g, before, cell, past))
         return out, kept
 
     @staticmethod
@@ -129,9 +136,9 @@ class Labeller:
         at = np.where(t < lengths, lengths - 1 - t, t)
         return x[at, np.arange(x.shape[1])[None]]
 
-    def _forward(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
-        ahead, kept_f = self._run(x, "f")
-        back, kept_b = self._run(self._flipped(x, lengths), "b")
+    def _forward(self, x: np.ndarray, lengths: np.ndarray, learn: bool = False) -> tuple[np.ndarray, tuple]:
+        ahead, kept_f = self._run(x, "f", learn)
+        back, kept_b = self._run(self._flipped(x, lengths), "b", learn)
         both = np.concatenate([ahead, self._flipped(back, lengths)], axis=2)
         return _sigmoid(both @ self.w["out"] + self.w["bias"]), (both, kept_f, kept_b)
 
@@ -161,7 +168,7 @@ class Labeller:
         for j, (r, target) in enumerate(zip(rows, labels, strict=True)):
             x[: len(r), j], y[: len(r), j] = r, target
         real = np.arange(len(x))[:, None] < lengths
-        p, (both, kept_f, kept_b) = self._forward(x, lengths)
+        p, (both, kept_f, kept_b) = self._forward(x, lengths, learn=True)
         d = np.where(real, p - y, 0).astype(np.float32) / lengths.sum()
         grads = {"out": np.einsum("tnh,tn->h", both, d), "bias": d.sum(keepdims=True).reshape(1)}
         db, h = d[:, :, None] * self.w["out"], self.shape.hidden
@@ -178,11 +185,12 @@ class Labeller:
         return float(loss), grads
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Chance that each block is text; pages of like length are run together."""
+        """Chance that each block is text; pages of like length are run together, as long as the places of all don't exceed a bound."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), 64):
-            some = order[a : a + 64]
+        while order:
+            many = next((n for n in range(1, min(64, len(order))) if (n + 1) * len(pages[order[n]]) > PLACES), min(64, len(order)))
+            some, order = order[:many], order[many:]
             rows = [self.inputs(pages[i], self.slots(pages[i])) for i in some]
             lengths = np.array([len(r) for r in rows])
             x = np.zeros((lengths.max(), len(rows), rows[0].shape[1]), np.float32)
@@ -230,8 +238,14 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
 
 
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
-    found = [blocks(p) if p else [] for p in pages]
-    return ["\n".join(b.text for b, p in zip(bs, ps, strict=True) if p >= 0.5) for bs, ps in zip(found, model.label(found), strict=True)]
+    out, held, size = [], [], 0
+    for k, page in enumerate(pages):
+        held.append(blocks(page) if page else [])
+        size += len(page or "")
+        if size > CHUNK or k == len(pages) - 1:
+            out += ["\n".join(b.text for b, p in zip(bs, ps, strict=True) if p >= 0.5) for bs, ps in zip(held, model.label(held), strict=True)]
+            held, size = [], 0
+    return out
 
 
 def html_extract(pages: DataFrame, model: Labeller | None = None, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -65,3 +67,15 @@ def test_gradients(name):
 )
 def test_left_out_end_tags(page, texts):
     assert [b.text for b in blocks(page)] == texts
+
+
+def test_long_pages_take_bounded_memory():
+    small = "<nav><ul><li><a href=/>Home</a></li></ul></nav><article>" + "<p>Some words of a small page stand here, and more.</p>" * 20 + "</article>"
+    large = "<article>" + "<p>Some words of a page stand.</p>" * 10_000 + "</article>"
+    model = trained()
+    alone = main_texts(model, [small])
+    tracemalloc.start()
+    texts = main_texts(model, [large, *[small] * 63])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and texts[0].count("\n") == 9_999 and set(texts[1:]) == set(alone)
