@@ -5,10 +5,12 @@ kept as slots. Windows of five template words of the benchmark are hashed; whole
 some stretch of the document, at most twice as long as the item, holds 80 % of its windows or more and the slots are consistent: each value of the item
 stands for one value of the document and no two for the same one. Every longest stretch is tried, aligned by its most common shift and by each other one, and an item's own values come before others.
 The first word of an item matches the same word in a document whether or not it counts as a name there. The values may be others than the item's: a re-parameterised question.
-An item with fewer than three ordinary words must come with its own values.
+An item with fewer than three ordinary words must come with its own values. Windows of placeholders only are looked up by their values, so rows of numbers don't meet all items that
+have some; items with more words are found by their other windows, and then aligned word by word.
 
 The benchmark is probed in blocks of a bounded number of windows, each broadcast; documents are never shuffled, and every item meets every document.
-Null or empty items are never found; null or empty texts hold none. Repeated rows keep a row each. An item shorter than a window is one window.
+Null or empty items are never found; null or empty texts hold none. Repeated rows and null ids keep a row each. An item shorter than a window is one window. A text of any length is probed whole, its
+windows at once; what it holds beside them is one entry for each window that it shares with an item. Other columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +72,17 @@ class _Known(dict):
     def __init__(self):
         super().__init__()
         self.form: list[str] = []
-        self.kind, self.hash, self.capital, self.ends = (np.zeros(1 << 12, t) for t in (np.int8, np.uint64, bool, bool))
+        self.kind, self.hash, self.value, self.capital, self.ends = (np.zeros(1 << 12, t) for t in (np.int8, np.uint64, np.uint64, bool, bool))
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         if n == len(self.kind):
-            self.kind, self.hash, self.capital, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.kind, self.hash, self.capital, self.ends))
+            self.kind, self.hash, self.value, self.capital, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.kind, self.hash, self.value, self.capital, self.ends))
         kind, form, self.capital[n], self.ends[n] = classify(word)
         self.form.append(form)
         self.kind[n] = kind if form else -1
-        self.hash[n] = xxhash.xxh3_64_intdigest(form.encode()) if kind == LITERAL else kind
+        self.value[n] = xxhash.xxh3_64_intdigest(form.encode())
+        self.hash[n] = self.value[n] if kind == LITERAL else kind
         return n
 
 
@@ -102,10 +106,18 @@ class Templates:
     def value(self, i: int) -> str:
         return self.known.form[i]
 
+    def windows(self, code: np.ndarray, kind: np.ndarray, ids: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each run of five template words, or of all where there are fewer, and whether a word is among them; where none is, values are hashed."""
+        out, n = windows(code, width), min(width, len(code))
+        upto = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        worded = upto[n:] > upto[: len(out)]
+        if not worded.all():
+            out = np.where(worded, out, ~windows(self.known.value[ids], width))
+        return out, worded
 
-def windows(code: np.ndarray) -> np.ndarray:
-    """Hash of each run of five template words; of all of them where there are fewer."""
-    n = min(WINDOW, len(code))
+
+def windows(code: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    n = min(width, len(code))
     if not n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(code) - n + 1, np.uint64)
@@ -115,29 +127,62 @@ def windows(code: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Item:
+    """An item's template words, their kinds and values; its windows by code, and which of them hold a word."""
+
+    item_id: int
+    code: np.ndarray
+    kinds: list[int]
+    values: list[str]
+    windows: np.ndarray
+    worded: np.ndarray
+
+    def __post_init__(self):
+        self.length, self.width = len(self.code), min(WINDOW, len(self.code))
+        self.few = sum(k == LITERAL for k in self.kinds) < 3
+        self.distinct = len(np.unique(self.windows))
+        #: Windows that count: all, or those with a word.
+        self.need = SHARE * (self.distinct if self.few else len(np.unique(self.windows[self.worded])))
+
+    def aligned(self, shifts: np.ndarray, code: np.ndarray, kind: np.ndarray, ids: np.ndarray, templates: Templates) -> bool:
+        """Whether enough windows of any sort stand in the document at one of these shifts."""
+        there = np.zeros(len(self.windows), bool)
+        for s in shifts.tolist():
+            low, high = max(0, -s), min(self.length, len(code) - s)
+            same = np.zeros(self.length, np.int64)
+            same[low:high] = self.code[low:high] == code[low + s : high + s]
+            if not low and self.kinds[0] == LITERAL and kind[s] == NAME and templates.value(ids[s]) == self.values[0]:
+                same[0] = 1
+            there |= np.convolve(same, np.ones(self.width, np.int64), "valid") == self.width
+        return len(np.unique(self.windows[there])) >= SHARE * self.distinct
+
+
 class Benchmark:
     """A block of items, ready to be probed."""
 
     def __init__(self, items: list[tuple[int, str]]):
         templates, hashes, owner, place = Templates(), [], [], []
-        self.items = []
+        self.items: list[Item] = []
         for item_id, text in items:
             code, kind, ids = templates(text or "")
             if not len(code):
                 continue
-            w = windows(code)
-            owner += [len(self.items)] * len(w)
-            place += range(len(w))
-            hashes.append(w)
+            w, worded = templates.windows(code, kind, ids)
+            told = np.flatnonzero(worded) if (kind == LITERAL).sum() >= 3 else np.arange(len(w))
+            owner += [len(self.items)] * len(told)
+            place += told.tolist()
+            hashes.append(w[told])
             if kind[0] == LITERAL:  # a first word that is capitalised inside a document's sentence counts as a name there
                 owner.append(len(self.items))
                 place.append(-1)
-                hashes.append(windows(np.concatenate([np.array([NAME], np.uint64), code[1:WINDOW]])))
-            self.items.append((item_id, len(code), len(np.unique(w)), kind.tolist(), [templates.value(i) for i in ids]))
+                named = slice(0, WINDOW)
+                hashes.append(templates.windows(np.concatenate([np.array([NAME], np.uint64), code[1:WINDOW]]), np.concatenate([np.array([NAME], np.int8), kind[1:WINDOW]]), ids[named])[0])
+            self.items.append(Item(item_id, code, kind.tolist(), [templates.value(i) for i in ids], windows(code), worded))
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner, self.place = hashes[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
-        self.short = sorted({n for _, n, *_ in self.items if n < WINDOW})
+        self.short = sorted({i.length for i in self.items if i.length < WINDOW})
 
     def found(self, text: str, templates: Templates) -> list[tuple[int, bool]]:
         """Items in the text, and whether their values are others."""
@@ -146,36 +191,40 @@ class Benchmark:
             return []
         hits: dict[int, list[tuple[int, int]]] = {}
         for n in [WINDOW, *self.short]:
-            w = windows(code) if n == WINDOW else np.array([windows(code[i : i + n])[0] for i in range(len(code) - n + 1)], np.uint64)
+            if n > len(code) and n < WINDOW:
+                continue
+            w, _ = templates.windows(code, kind, ids, n)
             low = np.searchsorted(self.hashes, w, "left")
             there = np.flatnonzero((low < len(self.hashes)) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == w))
             for at in there:
                 j = low[at]
                 while j < len(self.hashes) and self.hashes[j] == w[at]:
-                    if min(WINDOW, self.items[self.owner[j]][1]) == min(n, len(code)):
+                    item = self.items[self.owner[j]]
+                    if item.width == min(n, len(code)):
                         place = int(self.place[j])
-                        if place >= 0 or kind[at] == NAME and templates.value(ids[at]) == self.items[self.owner[j]][4][0]:
+                        if place >= 0 or kind[at] == NAME and templates.value(ids[at]) == item.values[0]:
                             hits.setdefault(int(self.owner[j]), []).append((int(at), max(place, 0)))
                     j += 1
         out = []
         for i, pairs in hits.items():
-            if (other := self._verdict(self.items[i], pairs, kind, ids, templates)) is not None:
-                out.append((self.items[i][0], other))
+            if (other := self._verdict(self.items[i], pairs, code, kind, ids, templates)) is not None:
+                out.append((self.items[i].item_id, other))
         return out
 
-    def _verdict(self, item: tuple, pairs: list[tuple[int, int]], kind: np.ndarray, ids: np.ndarray, templates: Templates) -> bool | None:
-        _, length, distinct, kinds, values = item
-        if len({p for _, p in pairs}) < SHARE * distinct:
+    def _verdict(self, item: Item, pairs: list[tuple[int, int]], code: np.ndarray, kind: np.ndarray, ids: np.ndarray, templates: Templates) -> bool | None:
+        kinds, values, width, few = item.kinds, item.values, item.width, item.few
+        if len({p for _, p in pairs}) < item.need:
             return None
         pairs.sort()
         at, place = np.array(pairs, np.int64).T
-        shift, width, found = at - place, min(WINDOW, length), None
-        few = sum(k == LITERAL for k in kinds) < 3
+        shift, found = at - place, None
         # An item that needs its own values is tried where some window has them.
         same = {a - p for a, p in pairs if all(kinds[p + k] == LITERAL or templates.value(ids[a + k]) == values[p + k] for k in range(width))} if few else set()
-        for low, high in self._stretches(pairs, 2 * length, SHARE * distinct):
+        for low, high in self._stretches(pairs, 2 * item.length, item.need):
             a, p, s = at[low:high], place[low:high], shift[low:high]
             shifts, which, often = np.unique(s, return_inverse=True, return_counts=True)
+            if not few and not item.worded.all() and not item.aligned(shifts, code, kind, ids, templates):
+                continue
             ranks = [-often[which]]
             if len(shifts) > 1:
                 ranks += [np.abs(s - x) for x in shifts[np.argsort(-often, kind="stable")] if not few or int(x) in same]

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from lodestar.llm.decontamination import NUMBER, QUANTITY, UNIT, classify, decontamination
+from lodestar.llm.decontamination import NUMBER, QUANTITY, UNIT, Benchmark, Templates, classify, decontamination
 
 FILL = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore " * 3
 ITEMS = [
@@ -72,3 +74,44 @@ def test_every_stretch_and_first_word(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.items, r.reparameterised) for r in decontamination(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()}
     assert got == {i: (a, b) for i, _, a, b in rows}
+
+
+def test_rows_of_numbers(spark):
+    """Placeholder-only windows: items are told by their words and the alignment, never by numbers alone."""
+    rng = random.Random(1)
+    numbers = lambda n: " ".join(str(rng.randrange(10, 99)) for _ in range(n))
+    table = numbers(30)
+    items = [(1, "The sum of these values is " + table), (2, numbers(12)), (3, "find the mean of the list " + numbers(8) + " and round it down")]
+    rows = [
+        (1, FILL + items[0][1], [1], []),
+        (2, FILL + "the sum of these values is " + numbers(30), [1], [1]),
+        (3, FILL + "the sum of these values is 12 and nothing else is said here", [], []),
+        (4, numbers(3000), [], []),
+        (5, numbers(40) + " " + items[1][1] + " " + numbers(5), [2], []),
+        (6, "Q: find the mean of the list " + numbers(8) + " and round it down", [3], [3]),
+        (7, table, [], []),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.items, r.reparameterised) for r in decontamination(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()}
+    assert got == {i: (a, b) for i, _, a, b in rows}
+    probe, many = Benchmark([(k, f"word{k} more words{k} " + numbers(12)) for k in range(300)]), numbers(20_000)
+    assert probe.found(many, Templates()) == []  # no hit for each item and place
+
+
+def test_random_changes_against_the_stated_rule():
+    """Items with all numbers changed one for one are found, with values that contradict each other not."""
+    rng = random.Random(5)
+    words = [a + b for a in "ba co du fe gi ho ju ka le mo".split() for b in "nd rst lm x p".split()]
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(3, 9)):
+            text += [*rng.choices(words, k=rng.randrange(2, 6)), str(rng.randrange(100, 200))]
+        item = " ".join(text)
+        of = {v: str(int(v) + 300) for v in text if v.isdigit()}
+        fill = [rng.choice(words) for _ in range(40)]
+        probe = Benchmark([(1, item)])
+        for changed, want in ((text, [(1, False)]), ([of.get(w, w) for w in text], [(1, True)])):
+            assert probe.found(" ".join([*fill, *changed, *fill]), Templates()) == want
+        first, *others = [i for i, w in enumerate(text) if w.isdigit()]
+        if len(of) == len(others) + 1 >= 3:  # one value for all of them
+            assert probe.found(" ".join([*fill, *("555" if w.isdigit() else w for w in text), *fill]), Templates()) == []
