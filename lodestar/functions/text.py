@@ -26,10 +26,10 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x and "&" in x else x)
 
 
-def plain_ascii(c: Column, full: bool = False) -> Column:
+def plain_ascii(c: Column, full: bool = True) -> Column:
     """Display form: references decoded, tags and what isn't printable ASCII (line breaks too) removed, blanks squeezed; null is empty.
 
-    ``full`` decodes every reference by a vectorised UDF, otherwise the common ones are decoded by expressions.
+    Every reference is decoded, by a vectorised UDF; ``full=False`` decodes the common ones by expressions, for text that has no others.
     """
     out = F.coalesce(c, F.lit(""))
     if full:
@@ -78,6 +78,20 @@ def doi_link(doi: Column) -> Column:
     return F.when(doi.contains("arxiv.org"), doi).otherwise(F.concat(F.lit("https://doi.org/"), doi))
 
 
+def title_text(page: Column) -> Column:
+    """The text of a page's or record's title, tags inside it removed and runs of white space as one space; empty without one."""
+    inner = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    return one_line(F.regexp_replace(inner, r"<[^>]+>", " "))
+
+
+def source_prefix(source: Column, prefixes: dict[str, str]) -> Column:
+    """The instruction that a source's documents are encoded with; none for sources without one."""
+    out = F.lit("")
+    for name, prefix in prefixes.items():
+        out = F.when(source == name, F.lit(prefix)).otherwise(out)
+    return out
+
+
 def file_stem(name: Column) -> Column:
     return F.regexp_extract(name, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
@@ -117,3 +131,23 @@ def chat_history(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     line = F.concat(F.when(F.col(role) == "user", "User: ").otherwise("Assistant: "), F.coalesce(F.col(text), F.lit("")))
     rows = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), line.alias("l"))))
     return turns.groupBy(conversation).agg(F.array_join(F.transform(rows, lambda s: s["l"]), "\n").alias("history"))
+
+
+def _numbered(rank: str, line: Column, between: str) -> Column:
+    rows = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("l"))))
+    return F.coalesce(F.array_join(F.transform(rows, lambda s: s["l"]), between), F.lit(""))
+
+
+def paper_prompt(ranked: DataFrame, instruction: str, n: int = 8, rank: str = "rank", labelled: bool = True) -> DataFrame:
+    """One row ``prompt``: an instruction, then title and abstract of the first ``n`` papers in rank order; for a summary with labels, for questions without."""
+    title, abstract = F.coalesce("title", F.lit("No Title" if labelled else "")), F.coalesce("abstract", F.lit("No Abstract" if labelled else ""))
+    line = F.concat(F.lit("Paper "), F.col(rank).cast("string"), F.lit(": "), title, F.lit("\nAbstract: "), abstract) if labelled else F.concat(title, F.lit("\n"), abstract)
+    top = ranked.orderBy(rank).limit(n)
+    return top.agg(F.concat(F.lit(instruction + "\n\n"), _numbered(rank, line, "\n\n" if labelled else "\n")).alias("prompt"))
+
+
+def chat_prompt(turns: DataFrame, ranked: DataFrame, instruction: str, message: str, n: int = 15, rank: str = "rank") -> DataFrame:
+    """``conv_id, prompt`` for each conversation: instruction, numbered papers, the turns so far and the user's message."""
+    context = prompt_context(ranked, n, rank)  # one row
+    text = F.concat_ws("\n\n", F.lit(instruction), F.col("context"), F.concat(F.col("history"), F.lit(f"\nUser: {message}\nAssistant:")))
+    return chat_history(turns).crossJoin(F.broadcast(context)).select("conv_id", text.alias("prompt"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +25,21 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str | Column, existi
     return out.drop("_key")
 
 
+def digest(*columns: Column) -> Column:
+    """32 bytes that stand for the columns' texts; nulls differ from empty texts."""
+    parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in columns]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def new_papers(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Papers whose title and abstract together aren't known."""
-    return new_rows(incoming, existing, signature(F.col("title"), F.col("abstract")))
+    """Papers whose title and abstract together aren't known; digests are compared, texts aren't moved for the comparison."""
+    return new_rows(incoming, existing, digest(signature(F.col("title"), F.col("abstract"))))
 
 
 def drop_repeats(papers: DataFrame, columns: Sequence[str] = ("doi", "title", "abstract"), file: str = "source_stem", position: str = "pos") -> DataFrame:
-    """The first row of each combination in a file."""
-    order = Window.partitionBy(file, *columns).orderBy(position)
-    return papers.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """The first row of each combination in a file, whose rows have distinct positions. Survivors are found by digest, with partial aggregates, so no group of copies meets in a task."""
+    first = papers.groupBy(F.col(file).alias("_f"), digest(*map(F.col, columns)).alias("_c")).agg(F.min(position).alias("_p")).select("_f", "_p")
+    return papers.join(first, F.col(file).eqNullSafe(F.col("_f")) & (F.col(position) == F.col("_p")), "left_semi")
 
 
 def latest_revision(papers: DataFrame, key: str = "pmid") -> DataFrame:
@@ -73,22 +80,27 @@ def offsets(files: DataFrame, rows: str = "rows", order: str = "stem", source: s
     return files.withColumn("global_start", upto - F.col(rows)).withColumn("global_end", upto - 1)
 
 
+def _next_fit(capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        table, out, chunk, used = table.sort_by("name"), [], -1, capacity
+        for n in table.column("n").to_pylist():
+            if used + n > capacity:
+                chunk, used = chunk + 1, 0
+            used += n
+            out.append(chunk)
+        return pa.table({"_source": table.column("_source"), "_o": table.column("name"), "chunk_id": pa.array(out, pa.int64())})
+
+    return run
+
+
 def packed(files: DataFrame, capacity: int, rows: str = "rows", order: str = "stem", source: str = "source") -> DataFrame:
     """``chunk_id`` by next fit in order, for each source: a file that doesn't fit opens a chunk; one larger than a chunk has it alone.
 
-    The fold runs over one array for each source: a row of metadata per file.
+    Next fit goes through the files of a source one after the other: a row of metadata per file, in one pass.
     """
-    kept = files.groupBy(F.col(source).alias("_source")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rows).cast("long").alias("n")))).alias("items"))
-    start = F.struct(F.lit(-1).cast("long").alias("chunk"), F.lit(capacity).cast("long").alias("used"), F.array().cast("array<struct<o:string,chunk:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["n"] <= capacity
-        chunk = F.when(fits, a["chunk"]).otherwise(a["chunk"] + 1)
-        used = F.when(fits, a["used"] + x["n"]).otherwise(x["n"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].cast("string").alias("o"), chunk.alias("chunk")))).alias("out"))
-
-    placed = kept.select("_source", F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select("_source", F.col("p.o").alias("_o"), F.col("p.chunk").alias("chunk_id"))
-    return files.join(placed, (F.col(source) == F.col("_source")) & (F.col(order).cast("string") == F.col("_o"))).drop("_source", "_o")
+    kept = files.select(F.col(source).cast("string").alias("_source"), F.col(order).cast("string").alias("name"), F.col(rows).cast("long").alias("n"))
+    placed = kept.groupBy("_source").applyInArrow(_next_fit(capacity), "_source string, _o string, chunk_id long")
+    return files.join(placed, F.col(source).cast("string").eqNullSafe(F.col("_source")) & (F.col(order).cast("string") == F.col("_o"))).drop("_source", "_o")
 
 
 def intervals(metadata: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from ..functions.text import stripped
 
 SOURCES = ("PubMed", "BioRxiv", "MedRxiv", "arXiv")
 RESULT = ("doi", "title", "authors", "date", "abstract", "score", "source", "journal")
-#: Queries that are compared with a batch of rows at a time.
-QUERY_BLOCK = 256
+#: Queries that one reading of the codes serves: 40 bytes each for their codes and ids, and 16 bytes for each neighbour kept.
+QUERY_BLOCK = 1 << 16
 
 
 def limbs(df: DataFrame) -> list[str]:
@@ -46,22 +46,27 @@ def raw_limit(top_k: int) -> int:
 
 
 def _nearest(ids: np.ndarray, limbs_: np.ndarray, k: int):
+    """A task's ``k`` nearest rows of each query. Only queries that a batch has something near for are touched."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        far = np.iinfo(np.int64).max
+        dist, near = np.full((len(ids), k), far), np.full((len(ids), k), far)
         for batch in batches:
             real = batch.filter(batch.column(1).is_valid())
             own = real.column(0).to_numpy()
             code = np.stack([real.column(i).to_numpy() for i in range(1, real.num_columns)], axis=1)
-            for a in range(0, len(ids), 16):
+            for a in range(0, len(ids) if len(own) else 0, 16):
                 apart = np.bitwise_count((code[None] ^ limbs_[a : a + 16, None]).view(np.uint64)).sum(axis=2, dtype=np.int64)
-                for j in range(len(apart)):
-                    d, i = np.concatenate([best[a + j][0], apart[j]]), np.concatenate([best[a + j][1], own])
-                    if len(d) > k:
-                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                        d, i = d[near], i[near]
+                there = apart <= dist[a : a + 16, -1:]
+                for j in np.flatnonzero(there.any(axis=1)).tolist():
+                    d, i = np.concatenate([dist[a + j], apart[j][there[j]]]), np.concatenate([near[a + j], own[there[j]]])
+                    if len(d) > 4 * k:
+                        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        d, i = d[some], i[some]
                     order = np.lexsort((i, d))[:k]
-                    best[a + j] = d[order], i[order]
-        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, [len(d) for d, _ in best]), "id": np.concatenate([i for _, i in best]), "dist": np.concatenate([d for d, _ in best])})
+                    dist[a + j], near[a + j] = d[order], i[order]
+        real = dist < far
+        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, real.sum(axis=1)), "id": near[real], "dist": dist[real]})
 
     return run
 
@@ -69,7 +74,7 @@ def _nearest(ids: np.ndarray, limbs_: np.ndarray, k: int):
 def knn(codes: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, id, dist, rank``: the ``k`` nearest rows of each query, exact, ties by id.
 
-    ``codes`` and ``queries`` have ``id`` and limbs. Queries go out in blocks of a fixed size; a task keeps ``k`` rows for each, so pairs are never shuffled.
+    ``codes`` and ``queries`` have ``id`` and limbs. Queries go out in blocks of a bounded size, each with one reading of the codes; a task keeps ``k`` rows for each, so pairs are never shuffled.
     """
     columns, found, held = limbs(codes), None, []
 
@@ -104,8 +109,13 @@ def strict_map_rows(df: DataFrame) -> DataFrame:
     return good_quality(df.filter(F.col("title").isNotNull() & (F.col("title") != "")))
 
 
+def _name(key: Column) -> Column:
+    """128 bits for a key, so that texts aren't sorted or compared."""
+    return F.struct(F.xxhash64(key), F.xxhash64(key, F.lit(1)))
+
+
 def live_dedup(df: DataFrame, rank: str = "rank") -> DataFrame:
-    """Greedy dedup in rank order as two windows.
+    """Greedy dedup in rank order as two windows over hashed keys.
 
     Of rows with one DOI of more than five characters the first stays; then a row with less than five is dropped
     if an earlier one that stayed has its title. Rows outside either rule get a window of their own, so none is large for lack of a key.
@@ -113,7 +123,7 @@ def live_dedup(df: DataFrame, rank: str = "rank") -> DataFrame:
     doi = stripped(F.coalesce(F.col("doi"), F.lit("None")))
     title = F.lower(stripped(F.coalesce(F.col("title"), F.lit("None"))))
     own = F.concat(F.lit("\x00"), F.col(rank).cast("string"))
-    keyed = df.withColumn("_d", F.length(doi)).withColumn("_dk", F.when(F.length(doi) > 5, doi).otherwise(own)).withColumn("_tk", F.when(title != "", title).otherwise(own))
+    keyed = df.withColumn("_d", F.length(doi)).withColumn("_dk", _name(F.when(F.length(doi) > 5, doi).otherwise(own))).withColumn("_tk", _name(F.when(title != "", title).otherwise(own)))
     first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_dk").orderBy(rank))).filter("_n = 1")
     second = first.withColumn("_n", F.row_number().over(Window.partitionBy("_tk").orderBy(rank))).filter("_d >= 5 OR _n = 1")
     return second.drop("_d", "_dk", "_tk", "_n")
@@ -148,21 +158,18 @@ def search(codes: DataFrame, papers: DataFrame, query: Sequence[int], top_k: int
         df = within_dates(df, start, end)
         return good_quality(df) if high_quality else df
 
+    # Filters and dedup work on identifiers, titles and numbers; whole texts are fetched for the rows that are left.
+    narrow = kept(papers).select("source", "corpus_id", "doi", "title")
     if prefilter:
-        codes = codes.join(kept(papers).select("source", "corpus_id"), ["source", "corpus_id"], "left_semi")
+        codes = codes.join(narrow.select("source", "corpus_id"), ["source", "corpus_id"], "left_semi")
     hits = topk_per_chunk(codes, query, per_chunk or raw_limit(top_k), ("source", "chunk_id"), ("corpus_id",)).select("source", "corpus_id", "dist", "score")
-    rows = kept(papers.join(hits, ["source", "corpus_id"]))
     place = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    rows = _ranked_dedup(rows.withColumn("_place", place))
-    top = rows.orderBy("dist", "_place", "corpus_id").limit(top_k)
+    rows = narrow.join(hits, ["source", "corpus_id"]).select("source", "corpus_id", "doi", "title", "score", F.struct("dist", place.alias("place"), "corpus_id").alias("rank"))
+    best = live_dedup(rows).orderBy("rank").limit(top_k).select("source", "corpus_id", "score", "rank")
+    top = papers.drop("score").join(F.broadcast(best), ["source", "corpus_id"]).orderBy("rank")  # 100 rows at most
     return top.select("doi", "title", "authors", "date", "abstract", "score", relabelled(F.col("source"), F.col("journal"), F.col("doi")).alias("source"), "journal", "corpus_id")
 
 
-def _ranked_dedup(rows: DataFrame) -> DataFrame:
-    key = F.format_string("%010d-%02d-%020d", F.col("dist"), F.col("_place"), F.col("corpus_id"))
-    return live_dedup(rows.withColumn("rank", key), "rank").drop("rank")
-
-
 def ordered(results: DataFrame, by: str = "relevance", ties: Sequence[str] = ("corpus_id",)) -> DataFrame:
     """Order results by relevance, date (unread dates last) or citations."""
     key = {"relevance": F.col("score").desc_nulls_last(), "date": paper_date(F.col("date")).desc_nulls_last()}.get(by)

@@ -56,6 +56,11 @@ def cell_label(title: Column, date: Column, source: Column, cut: int = 100, unda
     return F.concat(F.lit("<b>"), short, F.lit("</b><br>("), year, F.lit(") "), source)
 
 
+def _shuffled(key: Column, seed: int) -> Column:
+    """An order that depends on key and seed only."""
+    return F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed))))
+
+
 def stratified(rows: DataFrame, n: int, stratum: str = "chunk_id", seed: int = 42, key: str = "id") -> DataFrame:
     """About ``n`` rows, from each stratum by its share and one at least; all rows if there are no more. Order is by a hash of key and seed, so reruns agree."""
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_rows"))
@@ -63,19 +68,74 @@ def stratified(rows: DataFrame, n: int, stratum: str = "chunk_id", seed: int = 4
     if total <= n:
         return rows
     share = counts.withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(n) / F.lit(total))))
-    dealt = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    dealt = rows.withColumn("_h", _shuffled(F.col(key), seed))
     ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
     kept = ranked.join(share.select(stratum, "_take"), stratum).filter(F.col("_n") <= F.col("_take"))
     return kept.orderBy("_h", key).limit(n).select(*rows.columns)
 
 
-def bernoulli(rows: DataFrame, n: int, total: int, seed: int = 42) -> DataFrame:
-    """Each row with chance ``n / total``, ``n`` rows at most."""
-    return rows.sample(False, min(1.0, n / max(1, total)), seed).limit(n)
+def bernoulli(rows: DataFrame, n: int, total: int, seed: int = 42, key: str = "id") -> DataFrame:
+    """Each row with chance ``n / total`` by a hash of its key; of more than ``n`` the first by that hash, wherever they are stored."""
+    chance = F.conv(F.substring(_shuffled(F.col(key), seed), 1, 13), 16, 10).cast("long") / F.lit(16**13)
+    kept = rows.filter(chance < n / max(1, total)).withColumn("_h", _shuffled(F.col(key), seed))
+    return kept.orderBy("_h", key).limit(n).select(*rows.columns)
+
+
+def nearness(distance: Column, a: float = 1.0, b: float = 1.0) -> Column:
+    """The logarithm of a map distance's odds: ``-ln(1 + a d^(2b))``."""
+    return -F.log1p(F.lit(a) * F.pow(distance, F.lit(2 * b)))
 
 
-def pca_projection(rows: DataFrame, embedding: str = "embedding", id_: str = "id") -> DataFrame:
-    """``id, x, y``: the two main components. Tasks sum products into one matrix of the vector's width; signs are fixed so that the largest loading is positive."""
+def log_sigmoid(x: Column) -> Column:
+    """``ln(1 / (1 + e^-x))``, without overflow at either end."""
+    return F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
+
+
+def map_loss(weight: Column, odds: Column, repulsion: float = 1.0) -> Column:
+    """Cross entropy of a graph weight and a map's log odds: attraction and repulsion."""
+    attraction = -weight * log_sigmoid(odds)
+    return attraction - (1.0 - weight) * (log_sigmoid(odds) - odds) * repulsion
+
+
+class Projection:
+    """Layers of a map: vectors are multiplied through them in batches, with a ramp between layers. Fitted, applied, saved and loaded like any model."""
+
+    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]]):
+        self.layers = layers
+
+    @classmethod
+    def fit(cls, rows: DataFrame, embedding: str = "embedding") -> Projection | None:
+        """The two main components, as one layer; None without rows."""
+        axes, mean = _main_axes(rows, embedding)
+        return None if axes is None else cls([(axes, -mean @ axes)])
+
+    def transform(self, rows: DataFrame, embedding: str = "embedding", id_: str = "id") -> DataFrame:
+        """``id, x, y``; rows without a vector go. Weights go to the tasks once: their size is the map's, not the table's."""
+        sent = rows.sparkSession.sparkContext.broadcast(self.layers)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layers = sent.value
+            for batch in batches:
+                real = batch.filter(batch.column(1).is_valid())
+                if real.num_rows:
+                    at = real.column(1).flatten().to_numpy(zero_copy_only=False).reshape(real.num_rows, -1)
+                    for k, (w, b) in enumerate(layers):
+                        at = at @ w + b if k == len(layers) - 1 else np.maximum(at @ w + b, 0)
+                    yield pa.RecordBatch.from_pydict({"id": real.column(0), "x": np.ascontiguousarray(at[:, 0]), "y": np.ascontiguousarray(at[:, 1])})
+
+        return rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(run, "id long, x double, y double")
+
+    def save(self, spark, path: str) -> None:
+        rows = [(k, w.shape[0], w.shape[1], w.ravel().tolist(), np.asarray(b).tolist()) for k, (w, b) in enumerate(self.layers)]
+        spark.createDataFrame(rows, "layer int, n int, m int, weights array<double>, bias array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Projection:
+        return cls([(np.array(r.weights).reshape(r.n, r.m), np.array(r.bias)) for r in spark.read.parquet(path).orderBy("layer").collect()])
+
+
+def _main_axes(rows: DataFrame, embedding: str) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The two main components and the mean. Tasks sum products into one matrix of the vector's width; signs are fixed so that the largest loading is positive."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -89,14 +149,21 @@ def pca_projection(rows: DataFrame, embedding: str = "embedding", id_: str = "id
 
     cells = rows.select(embedding).mapInArrow(moments, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     if not cells:
-        return rows.sparkSession.createDataFrame([], "id long, x double, y double")
+        return None, None
     m = np.zeros((1 + max(c.i for c in cells),) * 2)
     for c in cells:
         m[c.i, c.j] = c.v
     mean = m[0, 1:] / m[0, 0]
     _, vectors = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
     axes = vectors[:, [-1, -2]]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]]), mean
+
+
+def pca_projection(rows: DataFrame, embedding: str = "embedding", id_: str = "id") -> DataFrame:
+    """``id, x, y``: the two main components, applied by expressions."""
+    axes, mean = _main_axes(rows, embedding)
+    if axes is None:
+        return rows.sparkSession.createDataFrame([], "id long, x double, y double")
 
     def along(k: int) -> Column:
         weights = F.array(*(F.lit(float(w)) for w in axes[:, k]))

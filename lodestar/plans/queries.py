@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import encode, index, search, semmap
+from ..operators import encode, index, search, semmap, update
+from ..session import shared_dir
+from ..sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +63,19 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("chunk_id"), *V.pack("embedding"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes as an index has them: written once in an application, then read."""
+    made, key = codes(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/lodestar/codes-{uuid.uuid4().hex}"
+        catalog.write_codes(made, path)
+        _STORED[key] = path
+    return spark.read.schema(made.schema).parquet(_STORED[key])
+
+
 def first_query(c: DataFrame) -> list[int]:
     return [c.filter("id = 0").select("c0").first()[0]]
 
@@ -68,13 +85,13 @@ HITS_SQL = f"q as (select embedding as qe from embeddings where vec_id = 0), h a
 
 @query(f"with {HITS_SQL} select id, dist, 1.0 - dist / 64.0 as score from h order by dist, id limit 10")
 def hamming_topk(spark, sf_dir):
-    c = codes(spark, sf_dir)
+    c = stored(spark, sf_dir)
     return search.topk(c, first_query(c), 10).select("id", "dist", "score")
 
 
 @query(f"with {HITS_SQL} select id, chunk_id, dist, rank from (select *, cast(row_number() over (partition by chunk_id order by dist, id) as integer) as rank from h) where rank <= 5")
 def hamming_topk_per_chunk(spark, sf_dir):
-    c = codes(spark, sf_dir)
+    c = stored(spark, sf_dir)
     return search.topk_per_chunk(c, first_query(c), 5).select("id", "chunk_id", "dist", "rank")
 
 
@@ -84,10 +101,20 @@ def hamming_topk_per_chunk(spark, sf_dir):
 )
 def knn_graph(spark, sf_dir):
     """Nearest neighbours of the stated queries, ids divisible by 100, among all rows."""
-    c = codes(spark, sf_dir)
+    c = stored(spark, sf_dir)
     return search.knn(c, c.filter("id % 100 = 0"), 10).select("query_id", "id", "dist", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"""select query_id, id, dist, rank from (select *, row_number() over (partition by query_id order by dist, id) as rank from (
+ select q.vec_id as query_id, e.vec_id as id, cast({DIST_SQL.format(a="e.embedding", b="q.embedding")} as bigint) as dist from embeddings e, embeddings q where q.vec_id % 100 = 0)) where rank <= 50"""
+)
+def multi_query_topk(spark, sf_dir):
+    """The fifty nearest of each stated query, all in one reading of the codes."""
+    c = stored(spark, sf_dir)
+    return search.knn(c, c.filter("id % 100 = 0"), 50).select("query_id", "id", "dist", F.col("rank").cast("long").alias("rank"))
+
+
 HALF_SQL = "cast(list_sum(list_transform(range({a}, {b}), lambda i: case when embedding[i] > 0 then 1::bigint << ({b} - 1 - i) else 0 end)) as bigint)"
 
 
@@ -132,23 +159,29 @@ def live_dedup(spark, sf_dir):
 
 PIPE_SQL = f"""with {PAPERS_SQL}, {HITS_SQL},
  hits as (select *, row_number() over (partition by id % 4, chunk_id order by dist, id) as rn from h),
- ranked as (select p.*, dist, 1.0 - dist / 64.0 as score, row_number() over (order by dist, place, corpus_id) as rank from hits join papers p on p.corpus_id = id where rn <= 20 and length(abstract) > 75 and {DAY_SQL} between date '2001-01-01' and date '2022-12-31'),
+ ranked as (select p.*, dist, 1.0 - dist / 64.0 as score, row_number() over (order by dist, place, corpus_id) as rank from hits join papers p on p.corpus_id = id where rn <= {{pool}} and length(abstract) > 75 and {DAY_SQL} between date '2001-01-01' and date '2022-12-31'),
  {DEDUP_SQL}, top as (select * from b order by rank limit 10),
  r as (select *, case when source = 'PubMed' and lower(journal) like '%biorxiv%' then 'BioRxiv' when source = 'PubMed' and lower(journal) like '%medrxiv%' then 'MedRxiv' else source end as s2 from top)
  select doi, title, authors, date, abstract, score, case when s2 = 'PubMed' and regexp_matches(doi, '10.1101') then 'BioRxiv' else s2 end as source, journal, corpus_id from r"""
 
 
-def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = codes(spark, sf_dir)
+def _search(spark: SparkSession, sf_dir: str, per_chunk: int | None = None) -> DataFrame:
+    c = stored(spark, sf_dir)
     where = c.withColumn("corpus_id", F.col("id")).withColumn("source", F.element_at(F.array(*map(F.lit, search.SOURCES)), (F.col("id") % 4).cast("int") + 1)).drop("id")
-    return search.search(where, papers(spark, sf_dir), first_query(c), 10, "2001-01-01", "2022-12-31", True, per_chunk=20)
+    return search.search(where, papers(spark, sf_dir), first_query(c), 10, "2001-01-01", "2022-12-31", True, per_chunk)
 
 
-@query(PIPE_SQL)
+@query(PIPE_SQL.replace("{pool}", str(search.raw_limit(10))))
 def search_pipeline(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+@query(PIPE_SQL.replace("{pool}", "20"))
+def search_small_pool(spark, sf_dir):
+    """The same with twenty hits a chunk."""
+    return _search(spark, sf_dir, per_chunk=20)
+
+
 @query("select min(doc_id) as doc_id, text from documents group by text, source")
 def exact_drop_duplicates(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_stem"), F.col("doc_id").alias("pos"))
@@ -286,8 +319,6 @@ def result_sort_date(spark, sf_dir):
 
 def _over_all(*order):
     """A window over the few rows of a top-k result."""
-    from pyspark.sql import Window
-
     return Window.orderBy(*order)
 
 
@@ -347,12 +378,14 @@ def clean_text(spark, sf_dir):
     """select page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', '', 'g'), '[^\\x20-\\x7E]', '', 'g'), ' +', ' ', 'g')) as plain from pages"""
 )
 def format_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.plain_ascii(F.col("html")).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", X.plain_ascii(F.col("html"), full=False).alias("plain"))
 
 
-@query()
+@query(
+    """select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '&(copy|middot|nbsp);', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g'), '<[^>]+>', '', 'g'), '[^\\x20-\\x7E]', '', 'g'), ' +', ' ', 'g')) as plain from pages"""
+)
 def format_text_full(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.plain_ascii(F.col("html"), full=True).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", X.plain_ascii(F.col("html")).alias("plain"))
 
 
 @query(
@@ -416,15 +449,23 @@ def scatter_projection(spark, sf_dir):
     return semmap.scatter(p).select("corpus_id", "day", F.round("marker_size", 9).alias("marker_size"))
 
 
-@query()
+MIXED_SQL = "md5(vec_id || '-42')"
+
+
+@query(
+    f"""with c as (select label, count(*) as n, (select count(*) from embeddings) as total from embeddings group by label),
+ r as (select vec_id as id, e.label as chunk_id, {MIXED_SQL} as h, row_number() over (partition by e.label order by {MIXED_SQL}, vec_id) as k, greatest(1, n * 100 // total) as take from embeddings e join c on c.label = e.label)
+ select id, chunk_id from r where k <= take order by h, id limit 100"""
+)
 def stratified_sample(spark, sf_dir):
-    return semmap.stratified(codes(spark, sf_dir), 100)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("chunk_id"))
+    return semmap.stratified(e, 100)
 
 
-@query()
+@query(f"select vec_id, label from embeddings where cast('0x' || substr({MIXED_SQL}, 1, 13) as bigint) / cast(4503599627370496 as double) < 100.0 / (select count(*) from embeddings) order by {MIXED_SQL}, vec_id limit 100")
 def bernoulli_sample(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return semmap.bernoulli(e.select("vec_id", "label"), 100, e.count())
+    return semmap.bernoulli(e.select("vec_id", "label"), 100, e.count(), key="vec_id")
 
 
 @query(
@@ -436,9 +477,16 @@ def edge_weights(spark, sf_dir):
     return semmap.edge_weights(e, 2)
 
 
+#: Points of a map's graph: all of them up to this many, beyond a sample by chunk.
+GRAPH_POINTS = 100_000
+
+
 @query()
 def fuzzy_graph(spark, sf_dir):
-    near = knn_graph(spark, sf_dir).filter("query_id <> id")
+    """Ten neighbours of every point of the map's sample among all of the sample."""
+    points = semmap.stratified(stored(spark, sf_dir), GRAPH_POINTS)
+    near = search.knn(points, points, 11).filter("query_id <> id")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).filter("rank <= 10")
     return semmap.fuzzy_union(semmap.smooth_knn(near.select(F.col("query_id").alias("head"), F.col("id").alias("tail"), "dist")))
 
 
@@ -464,13 +512,197 @@ def text_search(spark, sf_dir):
 @query("select distinct doc_id, text from documents")
 def stream_dedup_ingest(spark, sf_dir):
     """Documents through a stream that ends when all is read: keys never seen before are appended."""
-    import tempfile
-    import uuid
-
     from ..streaming.ingest import ingest_new
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")).rstrip("/") + f"/lodestar/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/lodestar/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows.write.parquet(f"{root}/in")
     ingest_new(spark, f"{root}/in", rows.schema, "doc_id", f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
+
+
+@query("select o_orderkey, citations, rank from (select o_orderkey, citations, row_number() over (order by citations desc nulls last, o_orderkey) as rank from (select o_orderkey, case when o_orderkey % 5 = 0 then null else o_custkey % 97 end as citations from orders)) where rank <= 100")
+def result_sort_citations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 97).alias("citations"), F.lit(0.0).alias("score"), F.lit("").alias("date"))
+    top = search.ordered(o, "citations", ("o_orderkey",)).limit(100)
+    rank = F.row_number().over(_over_all(F.col("citations").desc_nulls_last(), "o_orderkey"))
+    return top.select("o_orderkey", "citations", rank.cast("long").alias("rank"))
+
+
+@query("select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as title from pages")
+def html_title_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.title_text(F.col("html")).alias("title"))
+
+
+@query(f"with {PAPERS_SQL} select source, count(case when source = 'PubMed' then case when doi like '%10.%' then doi end when doi like '%arxiv.org%' then doi when length(doi) > 0 then doi end) as full_texts, count(*) as papers from papers group by source")
+def full_text_count(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return p.groupBy("source").agg(F.count(X.full_text_link(F.col("source"), F.col("doi"))).alias("full_texts"), F.count(F.lit(1)).alias("papers"))
+
+
+@query("select doc_id, case when source = 'src1' then 'Represent this: ' when source = 'src2' then 'Find: ' else '' end || '. ' || text as embedded from documents")
+def source_instructions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(X.source_prefix(F.col("source"), {"src1": "Represent this: ", "src2": "Find: "}), X.embedding_text(F.lit(None), F.col("text"))).alias("embedded"))
+
+
+@query("select doc_id, source from documents where doc_id >= 100 and doc_id < 160")
+def row_range(spark, sf_dir):
+    """The rows of a chunk, by the range of its ids."""
+    return catalog.row_range(table(spark, sf_dir, "documents").select("doc_id", "source"), 100, 60, "doc_id")
+
+
+SUMMARY, QUESTIONS = "Sum up what these papers have in common and where they differ.", "Ask three questions about these abstracts, one on each line."
+
+
+@query(
+    f"""with {PAPERS_SQL} select '{SUMMARY}' || chr(10) || chr(10) || string_agg('Paper ' || corpus_id || ': ' || title || chr(10) || 'Abstract: ' || abstract, chr(10) || chr(10) order by corpus_id) as prompt from papers where corpus_id < 8
+ union all select '{QUESTIONS}' || chr(10) || chr(10) || string_agg(title || chr(10) || abstract, chr(10) order by corpus_id) from papers where corpus_id < 8"""
+)
+def paper_prompts(spark, sf_dir):
+    ranked = papers(spark, sf_dir).withColumnRenamed("corpus_id", "rank")
+    return X.paper_prompt(ranked, SUMMARY).unionByName(X.paper_prompt(ranked, QUESTIONS, labelled=False))
+
+
+@query(
+    f"""with {PAPERS_SQL}, c as (select string_agg('[' || corpus_id || '] ' || title || chr(10) || abstract, chr(10) || chr(10) order by corpus_id) as context from papers where corpus_id < 3),
+ h as (select conv_id, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || text, chr(10) order by turn) as history from conversations group by conv_id)
+ select conv_id, 'Answer from the abstracts.' || chr(10) || chr(10) || context || chr(10) || chr(10) || history || chr(10) || 'User: Why?' || chr(10) || 'Assistant:' as prompt from h, c"""
+)
+def chat_prompt(spark, sf_dir):
+    return X.chat_prompt(table(spark, sf_dir, "conversations"), papers(spark, sf_dir).withColumnRenamed("corpus_id", "rank"), "Answer from the abstracts.", "Why?", n=3)
+
+
+LOSS_SQL = "least({x}, 0.0) - ln(1 + exp(-abs({x})))"
+
+
+@query(
+    f"""with e as (select l_orderkey, l_linenumber, l_discount * 10 as w, -ln(1 + pow(l_quantity / 10, 2)) as o from lineitem), s as (select *, {LOSS_SQL.format(x="o")} as ls from e)
+ select l_orderkey, l_linenumber, round(o, 9) as odds, round(-w * ls - (1 - w) * (ls - o), 9) as loss from s"""
+)
+def map_loss(spark, sf_dir):
+    """Cross entropy of graph weights and distances on a map."""
+    odds = semmap.nearness(F.col("l_quantity") / 10)
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("w"), odds.alias("o"))
+    return e.select("l_orderkey", "l_linenumber", F.round("o", 9).alias("odds"), F.round(semmap.map_loss(F.col("w"), F.col("o")), 9).alias("loss"))
+
+
+def _layers() -> list:
+    made = lambda n, m, by: ((np.arange(n)[:, None] * by + np.arange(m) * 3) % 11 - 5) / 8
+    return [(made(64, 4, 7), np.array([0.1, -0.1, 0.2, 0.0])), (made(4, 2, 5), np.array([0.5, -0.5]))]
+
+
+_HIDDEN_SQL = ", ".join(f"greatest(0.0, {b} + list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * (((i - 1) * 7 + {3 * j}) % 11 - 5) / 8.0))) as h{j}" for j, b in enumerate((0.1, -0.1, 0.2, 0.0)))
+_OUT_SQL = ", ".join(f"round({b} + {' + '.join(f'h{i} * ({((i * 5 + 3 * j) % 11 - 5) / 8})' for i in range(4))}, 6) as {c}" for j, (b, c) in enumerate(((0.5, "x"), (-0.5, "y"))))
+
+
+@query(f"with h as (select vec_id as id, {_HIDDEN_SQL} from embeddings) select id, {_OUT_SQL} from h")
+def projection_apply(spark, sf_dir):
+    """A map's layers, saved and loaded, applied to all vectors in batches."""
+    path = f"{shared_dir(spark)}/lodestar/projection-{uuid.uuid4().hex}"
+    semmap.Projection(_layers()).save(spark, path)
+    at = semmap.Projection.load(spark, path).transform(table(spark, sf_dir, "embeddings"), id_="vec_id")
+    return at.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+EXTEND_SQL = """f as (select lang as source, source as stem, count(*) as rows from documents group by lang, source),
+ fo as (select source, stem, rows, row_number() over (partition by source order by stem) as k from f where stem < 'src13'),
+ po as (select source, stem, rows, k, cast(0 as bigint) as chunk_id, rows as used from fo where k = 1 union all
+ select n.source, n.stem, n.rows, n.k, case when p.used + n.rows <= 60 then p.chunk_id else p.chunk_id + 1 end, case when p.used + n.rows <= 60 then p.used + n.rows else n.rows end from po p join fo n on n.source = p.source and n.k = p.k + 1),
+ ch as (select source, chunk_id, sum(rows) as rows from po group by source, chunk_id), la as (select source, max(chunk_id) as last, max_by(rows, chunk_id) as used, sum(rows) as al from ch group by source),
+ fn as (select source, stem, rows, row_number() over (partition by source order by stem) as k, sum(rows) over (partition by source) as coming, sum(rows) over (partition by source order by stem) as upto from f where stem >= 'src13' and (stem < 'src15' or source <> 'en')),
+ pn as (select source, stem, rows, k, cast(0 as bigint) as c, rows as used from fn where k = 1 union all
+ select n.source, n.stem, n.rows, n.k, case when p.used + n.rows <= {cap} then p.c else p.c + 1 end, case when p.used + n.rows <= {cap} then p.used + n.rows else n.rows end from pn p join fn n on n.source = p.source and n.k = p.k + 1)"""
+
+
+def _extend_sql(cap: int) -> str:
+    return f"""select {cap} as capacity, source, stem, rows, chunk_id, global_start, global_end from (with recursive {EXTEND_SQL.format(cap=cap)}
+ select pn.source, pn.stem, pn.rows, cast(case when la.last is not null and coming + la.used <= {cap} then la.last else coalesce(la.last + 1, 0) + c end as bigint) as chunk_id, cast(coalesce(al, 0) + upto - pn.rows as bigint) as global_start, cast(coalesce(al, 0) + upto - 1 as bigint) as global_end
+ from pn join fn on fn.source = pn.source and fn.stem = pn.stem left join la on la.source = pn.source)"""
+
+
+@query(" union all ".join(map(_extend_sql, (60, 1000))))
+def index_extend(spark, sf_dir):
+    """Chunks of new files after an append: in the last chunk if they fit, in new ones otherwise; for two capacities."""
+    f = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("source"), F.col("source").alias("stem")).agg(F.count(F.lit(1)).alias("rows"))
+    chunks = index.packed(f.filter("stem < 'src13'"), 60).groupBy("source", "chunk_id").agg(F.sum("rows").alias("rows"))
+    new = f.filter("stem >= 'src13' and (stem < 'src15' or source <> 'en')")
+    parts = [update.extended(chunks, new, cap).select(F.lit(cap).alias("capacity"), "source", "stem", "rows", "chunk_id", "global_start", "global_end") for cap in (60, 1000)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """with e as (select user_id % 7 as source, user_id as stem, ts from events), c as (select source, stem, epoch_us(max(ts)) / 1e6 as mtime from e where ts >= timestamp '2024-01-10' group by all), r as (select stem, epoch_us(max(ts)) / 1e6 as mtime from e where ts < timestamp '2024-01-30' and source <> 5 group by stem),
+ d as (select c.source, case when r.stem is null then 'new' when c.mtime > r.mtime + 1.0 and c.source not in (0, 1, 2) then 'modified' else 'same' end as change from c left join r using (stem) where c.source <> 2 or r.stem is not null)
+ select source, case when source = 1 or count(*) filter (where change = 'modified') > 0 then 'full' when count(*) filter (where change = 'new') > 0 then 'incremental' else 'none' end as todo from d group by source"""
+)
+def update_decisions(spark, sf_dir):
+    """What an update has to do for each source."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("source"), F.col("user_id").alias("stem"), "ts")
+    last = lambda df: df.groupBy("source", "stem").agg((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 1e6).alias("mtime"))
+    now, then = last(e.filter("ts >= timestamp'2024-01-10'")), last(e.filter("ts < timestamp'2024-01-30' and source <> 5")).drop("source")
+    changes = index.changed(now, then).join(now.select("stem", "source"), "stem")
+    changes = changes.withColumn("change", F.when((F.col("change") == "modified") & F.col("source").isin(0, 1, 2), "same").otherwise(F.col("change"))).filter("source <> 2 or change <> 'new'")
+    widths = spark.range(7).select(F.col("id").alias("source"), F.lit(48).alias("recorded"), F.when(F.col("id") == 1, 40).otherwise(48).alias("current"))
+    return update.decisions(changes, widths)
+
+
+@query(
+    """with s as (select o_orderpriority as source, case when o_orderkey % 5 = 0 then 'soon' else strftime(o_orderdate, '%Y-%m-%d') end as d from orders where o_orderpriority <> '5-LOW'), w as (select source, coalesce(max(try_cast(d as date)) filter (where d <> 'soon' and d < '1996-06-01'), date '1990-01-01') as since from s group by source),
+ b as (select o_orderpriority as source, date_trunc('month', o_orderdate) as m, count(*) as n from orders where o_orderpriority <> '5-LOW' group by all),
+ u as (select source, coalesce(min(m) filter (where n % 13 = 0), max(m + interval 1 month - interval 1 day)) as until from b group by source)
+ select source, since, cast(until as date) as until from w join u using (source)"""
+)
+def fetch_watermark(spark, sf_dir):
+    """Since when a source is fetched, and how far its clock moves: to the first month that failed."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").withColumn("source", F.col("o_orderpriority"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    states = o.select("source", F.when(F.col("o_orderkey") % 5 == 0, "soon").when(day < "1996-06-01", day).otherwise(F.lit(None)).alias("last_fetch_date"))
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    blocks = o.groupBy("source", month.alias("block_start")).agg((F.count(F.lit(1)) % 13 != 0).alias("ok")).withColumn("block_end", F.last_day("block_start"))
+    return update.watermarks(states).join(update.advanced(blocks), "source")
+
+
+@query("select coalesce(strftime(max(try_cast(d as date)), '%Y-%m-%d'), 'N/A') as last_update from (select case when o_orderkey % 3 = 0 then 'never' else strftime(o_orderdate, '%Y-%m-%d') end as d from orders) union all select 'N/A'")
+def last_update(spark, sf_dir):
+    states = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "never").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("last_fetch_date"))
+    return update.last_update(states).unionByName(update.last_update(states.filter("last_fetch_date = 'never'")))
+
+
+CHECKED_SQL = """e as (select label as stem, vec_id as local_idx, 1.0 - (case when label = 3 then 8 when vec_id % 2 = 1 then 1 else 0 end) / 64.0 as sim, row_number() over (partition by label order by md5(label || '-' || vec_id), vec_id) as k, count(*) over (partition by label) as n from embeddings),
+ c as (select stem, max(n) as rows, max(n) + case when stem = 4 then 1 else 0 end as expected, count(*) filter (where k <= 5) as sampled, round(avg(sim) filter (where k <= 5), 9) as avg_sim, min(sim) filter (where k <= 5) as min_sim, max(sim) filter (where k <= 5) as max_sim from e group by stem),
+ r as (select *, rows = expected and min_sim >= 0.96 as ok from c union all select 77, 0, 9, 0, null, null, null, false)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of each chunk against fresh ones: one chunk's differ, one's rows are too few, one has none."""
+    c = stored(spark, sf_dir).select(F.col("chunk_id").cast("long").alias("stem"), F.col("id").alias("local_idx"), "c0")
+    other = F.when(F.col("stem") == 3, F.lit(255)).when(F.col("local_idx") % 2 == 1, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    expected = c.groupBy("stem").agg((F.count(F.lit(1)) + F.when(F.col("stem") == 4, 1).otherwise(0)).alias("rows"))
+    expected = expected.unionByName(spark.range(1).select(F.lit(77).cast("long").alias("stem"), F.lit(9).cast("long").alias("rows")))
+    fresh = update.sampled_rows(c).withColumn("c0", F.col("c0").bitwiseXOR(other))
+    return update.checked(c, fresh, expected).withColumn("avg_sim", F.round("avg_sim", 9))
+
+
+@query(f"with {CHECKED_SQL} select * from r")
+def integrity_by_file(spark, sf_dir):
+    return _checked(spark, sf_dir)
+
+
+@query(f"with {CHECKED_SQL} select count(*) as files, count(*) filter (where ok) as passed, round(avg(cast(ok as integer)), 9) as pass_rate, round(avg(avg_sim) filter (where ok), 8) as avg_sim, min(min_sim) filter (where ok) as min_sim, max(max_sim) filter (where ok) as max_sim from r")
+def spot_check_report(spark, sf_dir):
+    return update.spot_report(_checked(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 9)).withColumn("avg_sim", F.round("avg_sim", 8))
+
+
+@query(f"with {CHECKED_SQL} select stem from r where not ok")
+def stale_codes(spark, sf_dir):
+    """Files whose codes have to be made again."""
+    return update.stale(_checked(spark, sf_dir))
+
+
+@query(f"with {POINTS_SQL} select source, xi, yi, count(*) as n from ce group by all")
+def grid_table(spark, sf_dir):
+    """A grid written as a table and read back."""
+    path = f"{shared_dir(spark)}/lodestar/grid-{uuid.uuid4().hex}"
+    catalog.write_grid(_cells(spark, sf_dir).groupBy("source", "xi", "yi").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("source int, xi int, yi int, n long").parquet(path)

@@ -1,7 +1,9 @@
-"""Session defaults: adaptive plans and UTC; everything else is the cluster's choice."""
+"""Session defaults, and the folder that the driver and all executors see; everything else is the cluster's choice."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where none is named, a local master (tests on one machine) gets a temporary folder, set once; a cluster is told to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = at.get() if at.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lodestar-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")

@@ -17,6 +17,8 @@ from ..functions.text import file_stem, one_line, plain_ascii, unescaped
 ARXIV = "id string, title string, abstract string, authors string, update_date string, categories string"
 #: Rows of a paper file.
 FILE_ROWS = 25_000
+#: More than any header of a packed matrix takes.
+HEAD_BYTES = 4096
 RESERVED = ("accepted", "epublish", "aheadofprint", "ppublish")
 LEVEL = "struct<y:string,m:string,d:string>"
 RECORD = f"pmid string, version string, doi string, title string, type string, medline_ta string, journal_title string, authors string, abstract string, mesh_terms string, keywords string, chemicals string, dates array<{LEVEL}>, medline_date string, failed boolean"
@@ -93,7 +95,7 @@ def pubmed_xml(spark: SparkSession, path: str, prefer_full_title: bool = False,
     rows = spark.read.text(path, lineSep="</PubmedArticle>").select("value").mapInPandas(_parse, RECORD).filter(~F.col("failed"))
     part = lambda k: (F.col("dates")[k]["y"], F.col("dates")[k]["m"], F.col("dates")[k]["d"])
     tidy = lambda c: plain_ascii(F.col(c), full=True)
-    lines = F.array_join(F.transform(F.split(unescaped("abstract"), "\n"), lambda x: plain_ascii(x)), "\n")
+    lines = F.array_join(F.transform(F.split(unescaped("abstract"), "\n"), lambda x: plain_ascii(x, full=False)), "\n")
     names = ("medline_ta", "journal_title") if not prefer_full_title else ("journal_title", "medline_ta")
     journal = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in names), F.lit(""))
     return rows.select(
@@ -104,12 +106,16 @@ def pubmed_xml(spark: SparkSession, path: str, prefer_full_title: bool = False,
 
 
 def npy_codes(spark: SparkSession, path: str) -> DataFrame:
-    """``stem, local_idx, c0, c1, ...`` of packed bit matrices; a file whose width isn't that of the first is passed over. Files are read whole, one to a task."""
+    """``stem, local_idx, c0, c1, ...`` of packed bit matrices; a file whose width isn't that of the first is passed over. Files are read whole, one to a task, and have 2 GB at most."""
     files = spark.read.format("binaryFile").load(path)
-    first = files.orderBy("path").select("content").first()
+    # Only the head of the first file reaches the driver.
+    first = files.orderBy("path").select(F.substring("content", 1, HEAD_BYTES).alias("head")).first()
     if first is None:
         return spark.createDataFrame([], "stem string, local_idx long, c0 long")
-    width = np.load(io.BytesIO(first[0])).shape[1]
+    head = io.BytesIO(bytes(first.head))
+    version = np.lib.format.read_magic(head)
+    shape, _, _ = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+    width = shape[1] if len(shape) == 2 else 0
     count = -(-width // 8)
     columns = [f"c{k}" for k in range(count)]
 

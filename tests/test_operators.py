@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import dates, text
 from lodestar.functions import vectors as V
-from lodestar.operators import encode, index, search, semmap
+from lodestar.operators import encode, index, search, semmap, update
 
 
 def greedy(rows):
@@ -122,3 +122,71 @@ def test_encoder_and_search_forms(spark):
         encode.query_code(spark, "x" * 9000)
     with pytest.raises(ValueError):
         search.search(codes, rows, [0, 0], 101)
+
+
+def test_update_after_an_append(spark):
+    chunks = spark.createDataFrame([("a", 0, 10), ("a", 1, 6), ("b", 0, 9)], "source string, chunk_id long, rows long")
+    files = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "x", 2), ("b", "y", 12), ("b", "z", 1), ("c", "x", 4)], "source string, stem string, rows long")
+    got = {(r.source, r.stem): (r.chunk_id, r.global_start, r.global_end) for r in update.extended(chunks, files, 10).collect()}
+    assert got == {("a", "x"): (1, 16, 18), ("a", "y"): (1, 19, 19), ("b", "x"): (1, 9, 10), ("b", "y"): (2, 11, 22), ("b", "z"): (3, 23, 23), ("c", "x"): (0, 0, 3)}
+    blocks = spark.sql("select * from values ('a', date'2020-01-01', date'2020-01-31', true), ('a', date'2020-02-01', date'2020-02-29', false), ('a', date'2020-03-01', date'2020-03-31', true), ('b', date'2020-01-01', date'2020-01-31', true) t(source, block_start, block_end, ok)")
+    assert {r.source: str(r.until) for r in update.advanced(blocks).collect()} == {"a": "2020-02-01", "b": "2020-01-31"}
+    states = spark.createDataFrame([("a", "2020-05-01"), ("b", "x"), ("c", None)], "source string, last_fetch_date string")
+    assert {r.source: str(r.since) for r in update.watermarks(states).collect()} == {"a": "2020-05-01", "b": "1990-01-01", "c": "1990-01-01"}
+    assert update.last_update(states.limit(0)).first()[0] == "N/A"
+    stored = spark.createDataFrame([("f", i, i) for i in range(9)], "stem string, local_idx long, c0 long")
+    expected = spark.createDataFrame([("f", 9)], "stem string, rows long")
+    wide = update.sampled_rows(stored, 3).withColumn("c1", F.lit(0).cast("long"))
+    assert update.checked(stored, update.sampled_rows(stored, 3), expected, samples=3).first().ok
+    assert not update.checked(stored, wide, expected, samples=3).first().ok
+    assert update.stale(update.checked(stored, stored, expected), force=True).count() == 1
+
+
+def test_graph_of_all_points(spark):
+    rng = np.random.default_rng(3)
+    code = rng.integers(-(2**63), 2**63, 60)
+    df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(code)], "id long, c0 long")
+    near = search.knn(df, df, 6).filter("query_id <> id")
+    graph = {(r.head, r.tail): r.weight for r in semmap.fuzzy_union(semmap.smooth_knn(near.select(F.col("query_id").alias("head"), F.col("id").alias("tail"), "dist"))).collect()}
+    away = np.array([[bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for b in code] for a in code], float)
+    one = {}
+    for i in range(60):
+        tails = [j for j in np.lexsort((np.arange(60), away[i])) if j != i][:5]
+        d = away[i, tails]
+        low, high = 1e-6, 1e6
+        for _ in range(200):  # weights fall with sigma, so bisection finds the one that sums to log2 k
+            mid = (low * high) ** 0.5
+            low, high = (mid, high) if np.exp(-(d - d.min()) / mid).sum() < np.log2(5) else (low, mid)
+        one |= {(i, int(j)): float(np.exp(-(x - d.min()) / max(high, 1e-3 * d.mean()))) for j, x in zip(tails, d, strict=True)}
+    want = {}
+    for i, j in one:
+        a, b = one.get((i, j), 0.0), one.get((j, i), 0.0)
+        want[i, j] = want[j, i] = a + b - a * b
+    assert graph.keys() == want.keys() and max(abs(graph[e] - want[e]) for e in want) < 1e-4
+
+
+def test_samples_do_not_depend_on_where_rows_are(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("chunk_id"))
+    for pick in (lambda r: semmap.bernoulli(r, 100, 1000), lambda r: semmap.stratified(r, 100)):
+        one, other = (sorted(x.id for x in pick(r).collect()) for r in (rows.repartition(7), rows.orderBy(F.desc("id"))))
+        assert one == other and 60 < len(one) <= 100 and max(one) > 500 > min(one)
+
+
+def test_projection_layers(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    layers = [(rng.normal(size=(6, 5)), rng.normal(size=5)), (rng.normal(size=(5, 2)), rng.normal(size=2))]
+    v = rng.normal(size=(30, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id long, embedding array<double>")
+    semmap.Projection(layers).save(spark, str(tmp_path / "map"))
+    got = np.array([(r.x, r.y) for r in semmap.Projection.load(spark, str(tmp_path / "map")).transform(df).orderBy("id").collect()])
+    assert np.allclose(got, np.maximum(v @ layers[0][0] + layers[0][1], 0) @ layers[1][0] + layers[1][1])
+    fitted, plain = (np.array([(r.x, r.y) for r in p.orderBy("id").collect()]) for p in (semmap.Projection.fit(df).transform(df), semmap.pca_projection(df)))
+    assert np.allclose(fitted, plain)
+
+
+def test_prompts_and_titles(spark):
+    pages = ["<head><TITLE lang=en>A <b>b</b>\n c</title>", "<p>none", None]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in pages], "h string").select(text.title_text(F.col("h"))).collect()] == ["A b c", "", ""]
+    ranked = spark.createDataFrame([(1, "T", None), (2, None, "x")], "rank int, title string, abstract string")
+    assert text.paper_prompt(ranked, "Sum up.").first()[0] == "Sum up.\n\nPaper 1: T\nAbstract: No Abstract\n\nPaper 2: No Title\nAbstract: x"
+    assert text.paper_prompt(ranked.limit(0), "Ask.").first()[0] == "Ask.\n\n"

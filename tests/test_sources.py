@@ -3,7 +3,7 @@ import json
 
 import numpy as np
 
-from lodestar.sources import papers
+from lodestar.sources import catalog, papers
 from lodestar.streaming.ingest import ingest_anti_join, ingest_new, sessions
 
 XML = """<?xml version="1.0"?><PubmedArticleSet>
@@ -69,3 +69,24 @@ def test_streams_append_what_is_new(spark, tmp_path):
 def test_sessions(spark):
     events = spark.sql("select 1 as user_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m,0) as ts from values (0), (4), (20) t(m)")
     assert sorted(r.n for r in sessions(events).collect()) == [1, 2]
+
+
+def test_catalog(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "corpus_id long, title string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    df.limit(3).coalesce(1).write.parquet(f"{tmp_path}/all.parquet")
+    assert [catalog.papers_of(spark, str(tmp_path), *x).count() for x in (("a",), ("b", f"{tmp_path}/all.parquet"), ("b",), ("b", f"{tmp_path}/none"))] == [20, 3, 0, 0]
+    (tmp_path / "meta.json").write_text(json.dumps({"total_rows": 41, "chunks": []}))
+    (tmp_path / "other.json").write_text(json.dumps({"chunks": []}))
+    assert [catalog.total_rows(spark, f"{tmp_path}/{x}.json") for x in ("meta", "other", "gone")] == [41, 0, 0]
+    (tmp_path / "conf.json").write_text(json.dumps({"a": {"chunk_dir": "x", "password": "y"}, "b": None}))
+    assert catalog.config(spark, f"{tmp_path}/conf.json") == {"a": {"chunk_dir": "x"}, "b": {}}
+    part = catalog.row_range(spark.read.parquet(f"{tmp_path}/a.parquet"), 4, 3)
+    assert sorted(r.corpus_id for r in part.collect()) == [4, 5, 6]
+    assert "GreaterThanOrEqual(corpus_id,4)" in part._jdf.queryExecution().executedPlan().toString()
+    codes = spark.createDataFrame([(i, "s", i) for i in range(9)], "id long, source string, c0 long")
+    for some in (codes, codes.limit(0), codes.limit(2)):
+        catalog.write_codes(some, f"{tmp_path}/codes", by="source")
+    assert spark.read.schema(codes.schema).parquet(f"{tmp_path}/codes").count() == 11
+    catalog.write_codes(codes.limit(0), f"{tmp_path}/empty")
+    assert spark.read.parquet(f"{tmp_path}/empty").columns == codes.columns
