@@ -1,9 +1,10 @@
 """Self-join on the Jaccard similarity of word shingles by parity sketches.
 
 A text's shingle set is XOR-hashed into a sketch of words of 64 parity bits. Sizes fall into classes such that linked sets lie in the same class or in neighbouring ones.
-For a pair whose smaller set is of a class, a similarity of t allows at most d differing shingles; a sketch of d + 2 words, each
-the parity of its own share of the shingles, then agrees in at least two words. Documents that agree in a word share a bucket.
-Empty words are passed over where a sketch has one at most, and used where it has more, so no pair is lost.
+For a pair whose smaller set is of a class, a similarity of t allows at most d differing shingles; a sketch of d + s words, each
+the parity of its own share of the shingles, then agrees in at least s words. Documents that agree in a word that isn't empty share a bucket.
+If all words in which two sketches agree are empty, both have s empty words or more: such sets go on to a sketch with a larger s, where fewer words are empty than have to agree.
+After the last of ``SPARE`` empty words count too, so no pair is lost; at 80 and 90 % nearly no set gets there.
 
 Equal sets are one node. In a bucket every node is checked against the bucket's center; in a task's own rows this happens before the shuffle,
 so a word that very many documents share sends one row a task. Verified links form components. Where a bucket still holds several
@@ -35,8 +36,10 @@ KNOWN_WORDS = 1 << 20
 ORDERS = 16
 #: Buckets by which two nodes find out where they meet first.
 LOWS = 16
-#: Bits of the filter for a second reading of texts: 2 MB.
-FILTER_BITS = 1 << 24
+#: Words of a sketch beyond those that can differ, in sixteenths of these, by turn.
+SPARE = (1, 4, 16)
+#: Bits of the filter for a second reading of texts: 16 for each text wanted, up to 2 MB; beyond, texts are joined.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 #: Nodes of a bucket that are compared at a time.
 BLOCK_NODES = 512
 
@@ -91,28 +94,37 @@ class Classes:
         """The most shingles in which a set of this size can differ from a linked one that is no smaller."""
         return smaller * (100 - self.percent) // self.percent
 
-    def words(self, k: int) -> int:
-        self.of(self.low[min(k, len(self.low) - 1)])
+    def apart(self, k: int) -> int:
+        """The most shingles in which linked sets differ of which the smaller is of this class."""
         while len(self.low) <= k + 1:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
-        d = self.differ(self.low[k + 1] - 1)
-        return d + 2 if d else 1
+        return self.differ(self.low[k + 1] - 1)
 
 
 def sketch_keys(h: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of (class, place, word) for both classes in which a set of these shingles may have partners."""
-    out, own = [], classes.of(len(h))
+    out, own, mixed = [], classes.of(len(h)), _mix(h)
     for k in (own, own - 1):
         if k < 0:
             continue
-        m = classes.words(k)
-        place = (h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        word, at = np.bitwise_xor.reduceat(_mix(h), starts), place[starts]
-        if m - len(at) > (m > 1):  # else at most one word is empty, and two agree
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-            word, at = np.concatenate([word, np.zeros(len(empty), np.uint64)]), np.concatenate([at, empty])
-        out.append(_mix(_mix(word) + at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
+        d = classes.apart(k)
+        for turn, share in enumerate(SPARE):
+            spare = 2 + d * share // 16 if d else 1
+            m = d + spare
+            # In the first turn places follow the order of the shingles.
+            seat = h if not turn else _mix(h + np.uint64(0x9E3779B97F4A7C15 * turn & MASK))
+            place = (seat >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+            order = np.argsort(place, kind="stable") if turn else slice(None)
+            place = place[order]
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            word, at = np.bitwise_xor.reduceat(mixed[order], starts), place[starts]
+            enough = m - len(at) < spare
+            if not enough and turn == len(SPARE) - 1:
+                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
+                word, at = np.concatenate([word, np.zeros(len(empty), np.uint64)]), np.concatenate([at, empty])
+            out.append(_mix(_mix(word) + at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * len(SPARE) + turn)))
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -226,19 +238,25 @@ def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(dict(zip(("key", "node", "center"), (_unz(c, np.int64) for c in columns), strict=True)))
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, size: int, most_bits: int = MOST_BITS) -> DataFrame:
     """``node, shingles`` of the ``node, doc_id`` wanted, by a second reading of the texts.
 
-    A filter of ``FILTER_BITS`` bits over the wanted ids is broadcast, so tasks work on few texts and no text is shuffled; what else passes is dropped by the join.
+    A filter over the wanted ids is broadcast, so tasks work on few texts and no text is shuffled; what else passes is dropped by the join.
+    Where the filter would outgrow ``most_bits``, the texts of the wanted ids are found by a join.
     """
-    words = nodes.select(_slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        table[r.word] = r.mask
+    wanted = nodes.select("doc_id").distinct()
+    bits = max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length())
+    if bits > most_bits:
+        ids = wanted.select(F.col("doc_id").alias("wanted_id"))
+        texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select(F.lit(0).cast("long").alias("slot"), "text")
+        table = np.full(1, -1, np.int64)
+    else:
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect()
+        table = np.zeros(bits // 64, np.int64)
+        for r in words:
+            table[r.word] = r.mask
+        texts = docs.select(slot.alias("slot"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +267,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size, hashes) for t in batch.column(1).filter(pa.array(there)).to_pylist()]
             yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary())})
 
-    again = docs.select(_slot("doc_id").alias("slot"), "text").mapInArrow(run, "node long, shingles binary")
+    again = texts.mapInArrow(run, "node long, shingles binary")
     return again.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 

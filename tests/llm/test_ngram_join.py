@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm.components import components
-from lodestar.llm.ngram_join import Classes, ngram_components
+from lodestar.llm.ngram_join import Classes, _Hashes, _sets, ngram_components, node_of, shingles, sketch_keys
 
 
 def brute(rows, size, percent):
@@ -56,9 +57,34 @@ def test_linked_sizes_are_neighbours():
         c = Classes(percent)
         for n in range(1, 3000):
             assert 0 <= c.of(n * 100 // percent) - c.of(n) <= 1
-            assert c.words(c.of(n)) >= c.differ(n) + 1
+            assert c.apart(c.of(n)) >= c.differ(n)
 
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "u long, v long")
     assert {(r.node, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_key_and_others_few(percent):
+    rng = np.random.default_rng(percent)
+    classes, shared, pairs = Classes(percent), 0, 0
+    for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 17, 20, 31, 50, 80, 130, 300, 900] * 12:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        gone = rng.integers(0, classes.differ(n) + 1)  # of the larger set, so that the smaller one has `percent` of it
+        kept = rng.permutation(a)[gone:]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, rng.integers(0, gone + 1), np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            assert len(np.intersect1d(sketch_keys(a, classes), sketch_keys(b, classes)))
+        other = rng.integers(0, 2**64, n, np.uint64)
+        pairs += 1
+        shared += bool(len(np.intersect1d(sketch_keys(a, classes), sketch_keys(np.unique(other), classes))))
+    assert shared <= pairs // 100  # empty words don't make buckets
+
+
+def test_texts_come_by_filter_or_by_join(spark):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"a b c d{i % 40} e") for i in range(90)], "doc_id long, text string")
+    nodes = spark.createDataFrame([(node_of(shingles(f"a b c d{k} e", 3, _Hashes())), k) for k in (1, 2, 5)] + [(node_of(shingles("a b c d7 e", 3, _Hashes())), None)], "node long, doc_id long")
+    one, other = (sorted((r.node, bytes(r.shingles)) for r in _sets(docs, nodes, 3, bits).collect()) for bits in (1 << 24, 1))
+    assert one == other and len(one) == 4
