@@ -41,7 +41,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows = written(ngram_rows(docs, size=5, percent=80, key=text_key()).filter("n > 0").select("doc_id", "key", "component"), "near-copies")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     groups = rows.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    told = rows.join(groups, "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    # Written before the join, so that rows of a large group are dealt to several tasks.
+    told = rows.join(written(groups, "groups"), "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
     # Rows of one id and text can't be told apart: one of them is taken.
     repeated = told.filter("first").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     ones = _matched(docs, repeated, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
