@@ -1,8 +1,7 @@
-"""What the operators share: the shared folder, written tables, words and batches."""
+"""What the operators share: written tables, words and batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Characters that separate words: the space and the ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -17,23 +18,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where none is named, a local master (tests on one machine) gets a temporary folder, set once; a cluster is told to name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = at.get() if at.isDefined() else None
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lodestar/{uuid.uuid4().hex}/{name}"

@@ -17,7 +17,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free, shared_dir, written
+from ..session import shared_dir
+from .common import free, written
 
 #: Bytes of text in a full shard.
 TARGET_BYTES = 128 << 20
