@@ -18,6 +18,7 @@ Null and empty texts, and texts without words, have an empty set and no link. Re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -356,26 +357,45 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     return dealt.groupBy("key", "x", "y").applyInArrow(_near(percent), "u long, v long").distinct()
 
 
-def ngram_rows(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
-    """``doc_id, key, n, node, component`` for every row: its number of shingles, the name of their set and the smallest name that links reach; ``key`` is a binary column to carry along."""
+@dataclass
+class _Found:
+    """What the sketches gave: ``named`` has ``doc_id, key, n, node`` of each row, ``nodes`` the distinct sets, ``pairs`` those with the centers of buckets, ``members`` the ``key, node`` of buckets."""
+
+    whole: DataFrame
+    named: DataFrame
+    nodes: DataFrame
+    pairs: DataFrame
+    members: DataFrame
+
+
+def _found(docs: DataFrame, size: int, percent: int, text: str, doc_id: str, key: Column | None) -> _Found:
     spark = docs.sparkSession
     text_batches(spark)
     n = partitions(spark)
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(None).cast("binary") if key is None else key).alias("carried"))
     table = written(whole.mapInArrow(_sketch(size, percent, n), WORDS), "parity-words")
     named = table.filter("bucket is null").select("doc_id", F.col("carried").alias("key"), "n", "node")
-    nodes = table.filter("bucket is null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    nodes = table.filter("bucket is null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     shared = table.filter("bucket >= 0").select("bucket", "keys", "owners", "sets").groupBy("bucket").applyInArrow(_members, MEMBERS)
     own = table.filter("bucket = -1").select("keys", "owners", "sets").mapInArrow(_own_members, MEMBERS)
     found = written(shared.unionByName(own), "members")
     pairs = found.filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
-    links = _verified(whole, written(_bounded(pairs, nodes, percent), "pairs"), nodes, size, percent)
     members = found.select("key", "node").unionByName(found.select("key", F.col("center").alias("node"))).distinct()
-    more = written(_rest(members, components(links), nodes, percent), "rest")
-    links = links.unionByName(_verified(whole, more, nodes, size, percent))
-    label = components(links).select(F.col("node"), F.col("component"))
-    return named.join(label, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+    return _Found(whole, named, nodes, written(_bounded(pairs, nodes, percent), "pairs"), members)
+
+
+def _labels(f: _Found, size: int, percent: int) -> DataFrame:
+    """``node, component`` of the sets that have links."""
+    links = _verified(f.whole, f.pairs, f.nodes, size, percent)
+    more = written(_rest(f.members, components(links), f.nodes, percent), "rest")
+    return components(links.unionByName(_verified(f.whole, more, f.nodes, size, percent)))
+
+
+def ngram_rows(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """``doc_id, key, n, node, component`` for every row: its number of shingles, the name of their set and the smallest name that links reach; ``key`` is a binary column to carry along."""
+    f = _found(docs, size, percent, text, doc_id, key)
+    return f.named.join(_labels(f, size, percent), "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component"))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -384,3 +404,20 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: st
     least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = out.join(least, "component")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Membership and links in full. ``doc_id, n_shingles, class_id, n_links`` for every row: rows of one class have equal sets, and ``n_links`` counts the other rows, copies included, that it is linked to.
+    ``u, v`` are the linked pairs of classes, each once, with ``u < v``.
+
+    All sets of a bucket are compared, a pair of blocks at a time, not only those of different components; so work and output grow with the links between different sets, while copies aren't expanded.
+    """
+    f = _found(docs, size, percent, text, doc_id, None)
+    apart = docs.sparkSession.createDataFrame([], "node long, component long")
+    pairs = f.pairs.unionByName(_rest(f.members, apart, f.nodes, percent)).distinct()
+    links = _verified(f.whole, written(pairs, "all-pairs"), f.nodes, size, percent).distinct()
+    ends = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    others = ends.join(f.nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
+    counts = f.nodes.select("node", "copies").join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    rows = f.named.join(written(counts, "counts"), "node")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(F.col("links")).alias("n_links")), links

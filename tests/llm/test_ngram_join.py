@@ -5,14 +5,19 @@ import numpy as np
 import pytest
 
 from lodestar.llm.components import components
-from lodestar.llm.ngram_join import Classes, _Hashes, _sets, ngram_components, node_of, shingles, sketch_keys
+from lodestar.llm.ngram_join import Classes, _Hashes, _sets, ngram_components, ngram_links, node_of, shingles, sketch_keys
 
 
-def brute(rows, size, percent):
+def sets_of(rows, size):
     sets = []
     for _, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    return sets
+
+
+def brute(rows, size, percent):
+    sets = sets_of(rows, size)
     comp = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -48,6 +53,23 @@ def test_against_brute_force(spark, seed, size, percent):
     assert got == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize("seed,size,percent", [(3, 3, 90), (4, 5, 80)])
+def test_all_links_are_told(spark, monkeypatch, seed, size, percent):
+    monkeypatch.setattr("lodestar.llm.ngram_join.BLOCK_NODES", 6)
+    rows = corpus(seed, size)
+    words = [f"w{k}" for k in range(300)]
+    rows += [(2000 + k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(0, 300, 20)]  # different texts, all linked
+    sets = [frozenset(s) for s in sets_of(rows, size)]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+    counts = sorted(((i, len(s), sum(linked(s, t) for t in sets) - bool(s)) for (i, _), s in zip(rows, sets, strict=True)), key=str)
+    members, links = ngram_links(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, node int"), size, percent)
+    members, links = members.collect(), [tuple(r) for r in links.collect()]
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in members), key=str) == counts
+    distinct = list(set(sets) - {frozenset()})
+    assert len(set(links)) == len(links) == sum(linked(a, b) for i, a in enumerate(distinct) for b in distinct[:i])
+    assert all(u < v for u, v in links) and {x for p in links for x in p} <= {r.class_id for r in members}
+
+
 def test_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
