@@ -400,9 +400,12 @@ def ngram_rows(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; a component's id is its smallest ``doc_id``."""
-    out = ngram_rows(docs, size, percent, text, doc_id)
-    least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(least, "component")
+    f = _found(docs, size, percent, text, doc_id, None)
+    told = f.nodes.select("node", "doc_id").join(_labels(f, size, percent), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    # Distinct sets look up their component's smallest id, rows the id of their set. Both tables are written, so that they are broadcast by their size or joined by shuffles in which skewed parts are split.
+    least = told.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("component", F.col("component_id").alias("least"))
+    ids = written(told.join(written(least, "least"), "component", "left").select("node", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")), "ids")
+    out = f.named.join(ids, "node")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
