@@ -3,8 +3,8 @@
 A snapshot is a table of exact entries (digest, length, smallest id, copies) dealt into buckets, with one static
 binary-fuse filter for each bucket. An arriving batch first groups its own duplicates. Its distinct
 digests are screened by the filters of the snapshot: what a filter rejects is new for certain; what it passes is joined to the
-bucket's exact entries, where all bytes of the SHA-256 digest and the length of the text are compared, so false positives turn out new.
-What is new becomes the next snapshot; snapshots are never changed.
+bucket's exact entries by SHA-256 digest and length, so false positives turn out new, and the texts of both ends are fetched and compared byte for byte.
+Different texts of one digest would stop the run; they are never merged. What is new becomes the next snapshot; snapshots are never changed.
 
 Two texts are equal if they are identical after each run of blanks became one space; null counts as empty. Of equal texts the smallest id stays;
 rows that repeat that id are all marked as kept. A null id stays only where no other row has the text.
@@ -139,10 +139,28 @@ def screened(groups: DataFrame, against: Snapshot) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(against.filters.groupBy("bucket")).applyInArrow(_screen, schema)
 
 
+def _digest(plain: Column) -> Column:
+    return F.unhex(F.sha2(plain, 256))
+
+
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, digest, length`` of each row's text with blanks squeezed."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), squeezed(text).alias("plain"))
-    return plain.select("doc_id", F.unhex(F.sha2("plain", 256)).alias("digest"), F.octet_length("plain").cast("long").alias("length"))
+    return plain.select("doc_id", _digest(F.col("plain")).alias("digest"), F.octet_length("plain").cast("long").alias("length"))
+
+
+def proved(docs: DataFrame, hits: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``digest`` of the ``hits`` (``digest, keep_id, old_id``) whose texts at both ends are the same bytes; raises where they differ.
+
+    Only the texts of these ids are fetched. Rows without an id are found by their digest.
+    """
+    name = lambda i, digest: F.coalesce(i.cast("string"), F.hex(digest))
+    ends = hits.select("digest", F.explode(F.array(name(F.col("keep_id"), F.col("digest")), name(F.col("old_id"), F.col("digest")))).alias("name"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = rows.select(F.when(F.col("id").isNull(), F.hex(_digest(squeezed("text")))).otherwise(F.col("id").cast("string")).alias("name"), "text")
+    texts = rows.join(written(ends.distinct(), "dedup-ends"), "name").select("digest", squeezed("text").alias("plain")).filter(_digest(F.col("plain")) == F.col("digest"))
+    low_high = texts.groupBy("digest").agg(F.min("plain").alias("low"), F.max("plain").alias("high"))
+    return low_high.select(F.when(F.col("low") == F.col("high"), F.col("digest")).otherwise(F.raise_error(F.lit("different texts have one digest")).cast("binary")).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: str = "doc_id", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -161,11 +179,12 @@ def exact_dedup(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: s
         new = grouped(rows.filter(inside)).select("key", "digest", "length", "keep_id", "copies")
         for old in snapshots:
             marked = written(screened(new, old), "dedup-screened")
-            exact = old.entries.select("digest", "length", F.col("keep_id").alias("old_id"))
+            exact = old.entries.select("digest", "length", F.col("keep_id").alias("old_id"), F.lit(True).alias("met"))
             joined = marked.filter("maybe").join(exact, ["digest", "length"], "left")
-            parts.append(joined.filter("old_id is not null").select("digest", F.col("old_id").alias("keep_id"), "copies"))
+            hits = written(joined.filter("met").select("digest", "keep_id", "old_id", "copies"), "dedup-hits")
+            parts.append(hits.join(proved(docs, hits, text, doc_id), "digest").select("digest", F.col("old_id").alias("keep_id"), "copies"))
             fresh = ["key", "digest", "length", "keep_id", "copies"]
-            new = marked.filter(~F.col("maybe")).select(*fresh).unionByName(joined.filter("old_id is null").select(*fresh))
+            new = marked.filter(~F.col("maybe")).select(*fresh).unionByName(joined.filter("met is null").select(*fresh))
         snapshots.append(snapshot(new, bucket_keys))
     for old in snapshots:
         parts.append(old.entries.select("digest", "keep_id", "copies"))
