@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,24 @@ def word_array(text: str | Column) -> Column:
     return F.filter(F.split(squeezed(text), " "), lambda w: w != "")
 
 
+def slot(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def bit_filter(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
+    """``bits`` bits in words of 64: those of the slots of the wanted values are set. The driver holds no more than these."""
+    at = wanted.select(slot(column, bits).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in at.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect():
+        table[r.word] = r.mask
+    return table.view(np.uint64)
+
+
+def in_filter(table: np.ndarray, slots: pa.Array) -> pa.Array:
+    at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)

@@ -3,8 +3,9 @@
 A snapshot is a table of exact entries (digest, length, smallest id, copies) dealt into buckets, with one static
 binary-fuse filter for each bucket. An arriving batch first groups its own duplicates. Its distinct
 digests are screened by the filters of the snapshot: what a filter rejects is new for certain; what it passes is joined to the
-bucket's exact entries, where all bytes of the SHA-256 digest and the length of the text are compared, so false positives turn out new.
-What is new becomes the next snapshot; snapshots are never changed.
+bucket's exact entries by SHA-256 digest and length, so false positives turn out new, and the texts of both ends are fetched and compared byte for byte.
+Different texts of one digest would stop the run; they are never merged. What is new becomes the next snapshot; snapshots are never changed.
+Texts are fetched by a second reading behind a bit filter of the ids wanted, so only theirs (and one in sixteen others) are shuffled; where the filter would outgrow ``MOST_BITS``, all are, by the same join.
 
 Two texts are equal if they are identical after each run of blanks became one space; null counts as empty. Of equal texts the smallest id stays;
 rows that repeat that id are all marked as kept. A null id stays only where no other row has the text.
@@ -13,6 +14,7 @@ rows that repeat that id are all marked as kept. A null id stays only where no o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import squeezed, written
+from .common import bit_filter, in_filter, slot, squeezed, text_batches, written
 
 #: Digests that share a filter; the number of buckets follows the snapshot's size.
 BUCKET_KEYS = 50_000
+#: Bits of the filter for the second reading of texts: 16 for each id wanted, up to 2 MB.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -139,13 +143,49 @@ def screened(groups: DataFrame, against: Snapshot) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(against.filters.groupBy("bucket")).applyInArrow(_screen, schema)
 
 
+def _digest(plain: Column) -> Column:
+    return F.unhex(F.sha2(plain, 256))
+
+
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, digest, length`` of each row's text with blanks squeezed."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), squeezed(text).alias("plain"))
-    return plain.select("doc_id", F.unhex(F.sha2("plain", 256)).alias("digest"), F.octet_length("plain").cast("long").alias("length"))
+    return plain.select("doc_id", _digest(F.col("plain")).alias("digest"), F.octet_length("plain").cast("long").alias("length"))
+
+
+def _behind(rows: DataFrame, wanted: DataFrame, most_bits: int) -> DataFrame:
+    """Those of the ``name, text`` rows whose name is wanted, and few others."""
+    bits = max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length())
+    if bits > most_bits:
+        return rows
+    text_batches(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted, "name", bits))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(in_filter(sent.value, batch.column(2))).select([0, 1])
 
-def exact_dedup(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: str = "doc_id", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    return rows.select("name", "text", slot("name", bits).alias("slot")).mapInArrow(run, "name string, text string")
+
+
+def proved(docs: DataFrame, hits: DataFrame, text: str = "text", doc_id: str = "doc_id", most_bits: int = MOST_BITS) -> DataFrame:
+    """``digest`` of the ``hits`` (``digest, keep_id, old_id``) whose texts at both ends are the same bytes; raises where they differ.
+
+    Rows without an id are found by their digest.
+    """
+    name = lambda i: F.coalesce(F.col(i).cast("string"), F.hex("digest"))
+    ends = hits.select("digest", name("keep_id").alias("new"), name("old_id").alias("old"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select(F.when(F.col("id").isNull(), F.hex(_digest(squeezed("text")))).otherwise(F.col("id").cast("string")).alias("name"), "text")
+    wanted = ends.select(F.explode(F.array("new", "old")).alias("name")).distinct()
+    texts = _behind(rows, wanted, most_bits).select("name", squeezed("text").alias("plain")).withColumn("digest", _digest(F.col("plain")))
+    # One shuffle, by digest, serves the join and the comparison, at every size.
+    both = texts.join(ends.hint("merge"), "digest").filter(F.col("name").isin(F.col("new"), F.col("old")))
+    ends_of = both.groupBy("digest").agg(F.min("plain").alias("low"), F.max("plain").alias("high"))
+    return ends_of.select(F.when(F.col("low") == F.col("high"), F.col("digest")).otherwise(F.raise_error(F.lit("different texts have one digest")).cast("binary")).alias("digest"))
+
+
+def exact_dedup(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: str = "doc_id", bucket_keys: int = BUCKET_KEYS, most_bits: int = MOST_BITS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
 
     Documents arrive in ``batches`` of about equal size by id; each is screened against the snapshots of those before it.
@@ -161,11 +201,12 @@ def exact_dedup(docs: DataFrame, batches: int = 2, text: str = "text", doc_id: s
         new = grouped(rows.filter(inside)).select("key", "digest", "length", "keep_id", "copies")
         for old in snapshots:
             marked = written(screened(new, old), "dedup-screened")
-            exact = old.entries.select("digest", "length", F.col("keep_id").alias("old_id"))
+            exact = old.entries.select("digest", "length", F.col("keep_id").alias("old_id"), F.lit(True).alias("met"))
             joined = marked.filter("maybe").join(exact, ["digest", "length"], "left")
-            parts.append(joined.filter("old_id is not null").select("digest", F.col("old_id").alias("keep_id"), "copies"))
+            hits = written(joined.filter("met").select("digest", "keep_id", "old_id", "copies"), "dedup-hits")
+            parts.append(hits.join(proved(docs, hits, text, doc_id, most_bits), "digest").select("digest", F.col("old_id").alias("keep_id"), "copies"))
             fresh = ["key", "digest", "length", "keep_id", "copies"]
-            new = marked.filter(~F.col("maybe")).select(*fresh).unionByName(joined.filter("old_id is null").select(*fresh))
+            new = marked.filter(~F.col("maybe")).select(*fresh).unionByName(joined.filter("met is null").select(*fresh))
         snapshots.append(snapshot(new, bucket_keys))
     for old in snapshots:
         parts.append(old.entries.select("digest", "keep_id", "copies"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_batches, written
+from .common import bit_filter, in_filter, partitions, slot, text_batches, written
 from .components import components
 
 #: Shingles of the documents that a task joins among themselves before it passes words on.
@@ -250,22 +250,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, most_bits: int = MOST_BI
     if bits > most_bits:
         ids = wanted.select(F.col("doc_id").alias("wanted_id"))
         texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select(F.lit(0).cast("long").alias("slot"), "text")
-        table = np.full(1, -1, np.int64)
+        table = np.full(1, MASK, np.uint64)
     else:
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-        words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect()
-        table = np.zeros(bits // 64, np.int64)
-        for r in words:
-            table[r.word] = r.mask
-        texts = docs.select(slot.alias("slot"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+        texts, table = docs.select(slot("doc_id", bits).alias("slot"), "text"), bit_filter(wanted, "doc_id", bits)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = _Hashes(), sent.value
         for batch in batches:
-            slot = batch.column(0).to_numpy().astype(np.int64)
-            there = held[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1
-            sets = [shingles(t, size, hashes) for t in batch.column(1).filter(pa.array(there)).to_pylist()]
+            sets = [shingles(t, size, hashes) for t in batch.column(1).filter(in_filter(held, batch.column(0))).to_pylist()]
             yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary())})
 
     again = texts.mapInArrow(run, "node long, shingles binary")

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.llm import exact_dedup as module
 from lodestar.llm.exact_dedup import FuseFilter, exact_dedup
 
 
@@ -29,6 +31,16 @@ def test_against_brute_force(spark, batches, bucket):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize("most_bits", [module.MOST_BITS, 1])
+def test_texts_of_one_digest_are_compared(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(module, "_digest", lambda plain: F.unhex(F.sha2(F.substring(plain, 1, 2), 256)))
+    same = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "ef"), (None, "cd")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.keep_id) for r in exact_dedup(same, most_bits=most_bits).collect()) == [("1", 1), ("2", 2), ("3", 1), ("4", 4), ("None", 2)]
+    other = spark.createDataFrame([(1, "abx"), (2, "cd"), (3, "aby"), (4, "ef")], "doc_id long, text string")
+    with pytest.raises(Exception, match="different texts have one digest"):
+        exact_dedup(other, most_bits=most_bits).collect()
+
+
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
