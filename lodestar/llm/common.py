@@ -67,9 +67,9 @@ def slot(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def bit_filter(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
-    """``bits`` bits in words of 64: those of the slots of the wanted values are set. The driver holds no more than these."""
-    at = wanted.select(slot(column, bits).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+def bit_filter(wanted: DataFrame, column: str, bits: int, hashed: bool = False) -> np.ndarray:
+    """``bits`` bits in words of 64: those of the slots of the wanted values (or hashes) are set. The driver holds no more than these."""
+    at = wanted.select((F.pmod(F.col(column), F.lit(bits)) if hashed else slot(column, bits)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     table = np.zeros(bits // 64, np.int64)
     for r in at.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask")).collect():
         table[r.word] = r.mask
