@@ -6,6 +6,7 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 # Elements by the way in which they cut text.
@@ -20,10 +21,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 P_ENDS = BREAKS - {"label", "button", "select", "option", "textarea", "html", "body"}
 SCOPES = frozenset("html body main article section aside nav header footer div ul ol dl table blockquote figure form fieldset td th details".split())
 
-PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*>?|[^<]+|<",
-    re.S,
-)
+#: Elements deeper than this stand beside the one at this depth, as in browsers, whose bound is 512; and what is read of an element's attributes for its marks.
+DEEPEST, ATTRIBUTES, MARKS = 100, 4096, 32
+
+OPENS = re.compile(r"</?[a-zA-Z]")
+SPECIAL, NAME_END = re.compile("[>\"']"), re.compile(r"[\s/>]")
+BROKEN = re.compile(r"</?[a-zA-Z][^<>]*+>?")
+NUMBER = re.compile(r"&#([0-9]{8,})")
 NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -31,19 +35,78 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 LEAVES_SVG = re.compile(r"<(?:(foreignobject|desc|title)|" + "|".join(sorted(P_ENDS | {"body", "br", "img", "span"})) + r")(?=[\s/>])", re.I)
 
 
-def hidden_end(page: str, tag: str, at: int) -> int:
-    """Where a hidden element that opened before ``at`` ends. Without an end tag only scripts and styles go on to the end of the page."""
-    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-    if tag == "svg":
-        out = LEAVES_SVG.search(page, at, end.start() if end else len(page))
-        if out and (not out[1] or not end):
-            return out.start() if not out[1] else at
-    if end:
-        return end.end()
-    if tag in ("script", "style"):
-        return len(page)
-    more = page.find("<", at) if tag in ("title", "svg") else at
-    return len(page) if more < 0 else more
+class Scanner:
+    """Pieces of a page, in time that grows with its length whatever it holds: what a search found or missed is kept for the searches that start before that place."""
+
+    def __init__(self, page: str):
+        self.page, self.kept = page, {}
+        self.special = [m.start() for m in SPECIAL.finditer(page)]
+        # Where a tag ends whose attributes go on at each of these: quotes are passed over as pairs; -1 if it doesn't end.
+        n, ends, later = len(self.special), [-1] * len(self.special), {}
+        for k in range(n - 1, -1, -1):
+            c = page[self.special[k]]
+            if c == ">":
+                ends[k] = self.special[k]
+            else:
+                pair = later.get(c, n) + 1
+                ends[k] = ends[pair] if pair < n else -1
+                later[c] = k
+        self.ends = ends
+
+    def found(self, what: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first match from ``at``, which only grows."""
+        start, m = self.kept.get(what, (None, None))
+        if start is None or m is not None and m.start() < at:
+            m = pattern.search(self.page, at)
+            self.kept[what] = (at, m)
+        return m
+
+    def place(self, text: str, at: int) -> int:
+        """The first place of a text from ``at``, which only grows; -1 if there is none."""
+        start = self.kept.get(text, -2)
+        if start != -1 and start < at:
+            self.kept[text] = start = self.page.find(text, at)
+        return start
+
+    def piece(self, at: int) -> tuple[int, str, str | None, bool, str]:
+        """Where the piece at ``at`` ends, and its text; or a tag's name, whether it closes, and its attributes."""
+        page = self.page
+        if page[at] != "<":
+            end = self.place("<", at)
+            end = len(page) if end < 0 else end
+            return end, page[at:end], None, False, ""
+        if page.startswith("<!--", at):
+            end = self.place("-->", at + 4)
+            return (len(page) if end < 0 else end + 3), "", None, False, ""
+        if page.startswith("<![CDATA[", at) and (end := self.place("]]>", at + 9)) >= 0:
+            return end + 3, page[at + 9 : end], None, False, ""
+        if OPENS.match(page, at):
+            closing = page[at + 1] == "/"
+            name = at + 1 + closing
+            m = self.found("a name's end", NAME_END, name + 1)
+            if m:
+                k = bisect_left(self.special, m.start())
+                end = self.ends[k] if k < len(self.special) else -1
+                if end >= 0:
+                    return end + 1, "", page[name : m.start()], closing, page[m.start() : end]
+            return BROKEN.match(page, at).end(), "", None, False, ""
+        if page.startswith(("<!", "<?"), at) and (end := self.place(">", at + 2)) >= 0:
+            return end + 1, "", None, False, ""
+        return at + 1, "<", None, False, ""
+
+    def hidden_end(self, tag: str, at: int) -> int:
+        """Where a hidden element that opened before ``at`` ends. Without an end tag only scripts and styles go on to the end of the page."""
+        end = self.found(f"the end of {tag}", re.compile(rf"</{re.escape(tag)}\s*+>", re.I), at)
+        if tag == "svg":
+            out = self.found("what leaves svg", LEAVES_SVG, at)
+            if out and (not end or out.end() < end.start()) and (not out[1] or not end):
+                return out.start() if not out[1] else at
+        if end:
+            return end.end()
+        if tag in ("script", "style"):
+            return len(self.page)
+        more = self.place("<", at) if tag in ("title", "svg") else at
+        return len(self.page) if more < 0 else more
 
 
 @dataclass
@@ -60,7 +123,12 @@ def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
     for m in NAMED.finditer(attributes):
         for word in PARTS.findall(m[2] or m[3] or m[4] or ""):
             out.append(f".{word.lower()}")
-    return tuple(dict.fromkeys(out))
+    return tuple(dict.fromkeys(out))[:MARKS]
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers of many digits are cut first, as they stand for no character."""
+    return html.unescape(NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'}", text))
 
 
 def blocks(page: str) -> list[Block]:
@@ -74,7 +142,7 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal words, linked
-        text = " ".join(html.unescape("".join(words)).split())
+        text = " ".join(unescaped("".join(words)).split())
         if text:
             out.append(Block(path if path is not None else where(), text, linked))
         words, linked = [], 0
@@ -82,12 +150,10 @@ def blocks(page: str) -> list[Block]:
     def where() -> tuple[str, ...]:
         return tuple(m for _, marks in stack for m in marks)
 
+    scan = Scanner(page)
     while at < len(page):
-        m = PIECE.match(page, at)
-        at = m.end()
-        tag = m[3]
+        at, raw, tag, closing, attributes = scan.piece(at)
         if tag is None:
-            raw = m[1] if m[1] is not None else "" if m[0][0] == "<" and len(m[0]) > 1 else m[0]
             if head and not raw.strip():
                 continue
             if raw:
@@ -97,14 +163,14 @@ def blocks(page: str) -> list[Block]:
                 words.append(raw)
                 linked += len(raw) if link else 0
             continue
-        tag, closing = tag.lower(), bool(m[2])
+        tag = tag.lower()
         if tag == "head":
             head = not closing
             continue
         head = head and tag in IN_HEAD
         if tag in HIDDEN and not closing:
-            if not m[4].rstrip().endswith("/"):
-                at = hidden_end(page, tag, at)
+            if not attributes.rstrip().endswith("/"):
+                at = scan.hidden_end(tag, at)
             words.append(" ")
         elif tag == "a":
             link = 0 if closing else 1
@@ -126,7 +192,9 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] in SCOPES and not (tag in ("td", "th", "tr") and stack[k][0] in ("td", "th")):
                         break
-                stack.append((tag, marks_of(tag, m[4])))
+                if len(stack) == DEEPEST:
+                    stack.pop()
+                stack.append((tag, marks_of(tag, attributes[:ATTRIBUTES])))
                 link = 0
     flush()
     return out

@@ -1,3 +1,4 @@
+import time
 import tracemalloc
 
 import numpy as np
@@ -79,3 +80,39 @@ def test_long_pages_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6 and texts[0].count("\n") == 9_999 and set(texts[1:]) == set(alone)
+
+
+ODD = ["<a<", "<a '", '<a x="', "<a '>\"", "<svg>", "<svg><desc>", "<![CDATA[", "<!", "<div>", "<ul><li>x", "<h1>x", "<title>", "<template>", "&#", "<script", '<div class="a b">x', "<table><td>x", "class ", "<"]
+
+
+@pytest.mark.parametrize("bit", ODD)
+def test_odd_pages_take_time_in_proportion(bit):
+    took = []
+    for size in (1 << 17, 1 << 20):
+        page, start = (bit * (size // len(bit) + 1))[:size], time.perf_counter()
+        blocks(page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 and took[1] < 24 * max(took[0], 0.05)
+
+
+@pytest.mark.parametrize("page,texts", [("<a" + "b" * (1 << 20), []), ("&#" + "1" * (1 << 20) + ";x", ["�x"]), ("&#" + "0" * (1 << 20) + "65;x", ["Ax"]), ('<div class="' + "a " * (1 << 19) + '">x', ["x"]), ("<div " + " " * (1 << 20) + ">x", ["x"]), ("<p>x" * 3, ["x"] * 3)])
+def test_long_pieces(page, texts):
+    start = time.perf_counter()
+    assert [b.text for b in blocks(page)] == texts
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("a<x y='>'z>b", ["ab"]), ("a<x y='>b", ["ab"]), ("a<b", ["a"]), ("a<b <p>c", ["ac"]), ("a<!x", ["a<!x"]), ("a<!x>b<?y>c", ["abc"]), ("a<!--x>y-->b", ["ab"]), ("a<!--x", ["a"]),
+        ("a<![CDATA[c]]>b", ["acb"]), ("a<![CDATA[c>b", ["ab"]), ("1 < 2 <p>b", ["1 < 2", "b"]), ("a<svg>x</svg>b<svg>y<p>c", ["a b", "c"]), ("<title>t<p>c", ["c"]), ("a<script>x<p>y", ["a"]),
+    ],
+)
+def test_pieces(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_deep_elements_stand_beside_the_deepest():
+    found = blocks("<div>" * 500 + "x" + "</div>" * 500 + "<p>y")
+    assert [b.text for b in found] == ["x", "y"] and len(found[0].path) == 100 and found[1].path == ("p",)
