@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, text_batches, written
@@ -214,13 +214,18 @@ def _removed(length: int):
     return run
 
 
+def text_names(raw: str = "raw") -> tuple[Column, Column]:
+    """128 bits that name a text: two hashes with seeds of their own."""
+    return F.xxhash64(raw).alias("text_hi"), F.xxhash64(F.lit(7), raw).alias("text_lo")
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", bucket_ranks: int = BUCKET_RANKS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row; ``spans`` has the start and end of each removed run in turn."""
     spark = docs.sparkSession
     text_batches(spark)
     n = partitions(spark)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", F.xxhash64("raw").alias("text_hi"), F.xxhash64("raw", F.lit(7)).alias("text_lo"), "raw")
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", *text_names(), "raw")
     found = whole.select("text_hi", "text_lo", "raw").mapInArrow(_sampled(length, batch_bytes), SAMPLES)
     key = ["text_hi", "text_lo"]
     # Equal copies of a text are one text; how many there are shows in the count of its samples.
@@ -236,9 +241,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_
     partial = small.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared(length), "bucket long, rank long, runs array<int>")
     if ranks.filter(F.col("mixed") & (F.col("about") > bucket_ranks)).limit(1).count():
         strings = written(large.dropDuplicates(["bucket", "rank"]).mapInArrow(_dealt(length), "bucket long, rank long, many boolean, place int, print long"), "strings")
-        twice = strings.groupBy("print").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a <> b").select("print")
+        twice = strings.groupBy("bucket", "print").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).filter("a <> b").select("bucket", "print")
         runs = F.udf(_joined_runs, "array<int>")
-        partial = partial.unionByName(strings.filter("not many").join(twice, "print").groupBy("bucket", "rank").agg(runs(F.collect_list("place")).alias("runs")))
+        partial = partial.unionByName(strings.filter("not many").join(twice, ["bucket", "print"]).groupBy("bucket", "rank").agg(runs(F.collect_list("place")).alias("runs")))
     partial = written(partial.dropDuplicates(["bucket", "rank"]), "partial")
     verdict = ranks.filter("many").select("bucket", "rank", F.lit(None).cast("array<int>").alias("runs")).unionByName(partial)
     hits = found.join(verdict, ["bucket", "rank"])

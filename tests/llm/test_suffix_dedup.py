@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from lodestar.llm.suffix_dedup import suffix_dedup
+from lodestar.llm.suffix_dedup import suffix_dedup, text_names
 
 
 def brute(rows, length):
@@ -52,3 +54,11 @@ def test_against_brute_force(spark, seed, length, ranks, batch):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_names_of_a_text_are_independent(spark):
+    """The second name is a hash of the text with a seed of its own, not of the first name."""
+    df = spark.createDataFrame([("hello",), ("é" * 100,)], "raw string").select(F.col("raw").cast("binary").alias("raw"))
+    seed = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+    for raw, high, low in df.select("raw", *text_names()).collect():
+        assert high % 2**64 == xxhash.xxh64_intdigest(bytes(raw), 42) and low % 2**64 == xxhash.xxh64_intdigest(bytes(raw), seed)
