@@ -110,8 +110,8 @@ def strict_map_rows(df: DataFrame) -> DataFrame:
 
 
 def _name(key: Column) -> Column:
-    """128 bits for a key, so that texts aren't sorted or compared."""
-    return F.struct(F.xxhash64(key), F.xxhash64(key, F.lit(1)))
+    """128 bits for a key, so that texts aren't sorted or compared: two hashes with seeds of their own, as what comes first is the seed of what follows."""
+    return F.struct(F.xxhash64(key), F.xxhash64(F.lit(1), key))
 
 
 def live_dedup(df: DataFrame, rank: str = "rank") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import groups
+
 
 def bounds(points: DataFrame, pad: float = 0.05, pad_y_by_x: bool = False) -> DataFrame:
     """One row ``x_lo, x_hi, y_lo, y_hi``: the range, widened on each side by a share of it (of x for both on request)."""
@@ -110,7 +112,12 @@ class Projection:
         return None if axes is None else cls([(axes, -mean @ axes)])
 
     def transform(self, rows: DataFrame, embedding: str = "embedding", id_: str = "id") -> DataFrame:
-        """``id, x, y``; rows without a vector go. Weights go to the tasks once: their size is the map's, not the table's."""
+        """``id, x, y``; rows without a vector go."""
+        at = self.outputs(rows, embedding, id_)
+        return at.select("id", F.get("at", F.lit(0)).alias("x"), F.get("at", F.lit(1)).alias("y"))
+
+    def outputs(self, rows: DataFrame, embedding: str = "embedding", id_: str = "id") -> DataFrame:
+        """``id, at``: the last layer's values, as many as it has; rows without a vector go. Weights go to the tasks once: their size is the map's, not the table's."""
         sent = rows.sparkSession.sparkContext.broadcast(self.layers)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +128,10 @@ class Projection:
                     at = real.column(1).flatten().to_numpy(zero_copy_only=False).reshape(real.num_rows, -1)
                     for k, (w, b) in enumerate(layers):
                         at = at @ w + b if k == len(layers) - 1 else np.maximum(at @ w + b, 0)
-                    yield pa.RecordBatch.from_pydict({"id": real.column(0), "x": np.ascontiguousarray(at[:, 0]), "y": np.ascontiguousarray(at[:, 1])})
+                    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1])
+                    yield pa.RecordBatch.from_arrays([real.column(0), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(at).ravel()))], names=["id", "at"])
 
-        return rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(run, "id long, x double, y double")
+        return rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(run, "id long, at array<double>")
 
     def save(self, spark, path: str) -> None:
         rows = [(k, w.shape[0], w.shape[1], w.ravel().tolist(), np.asarray(b).tolist()) for k, (w, b) in enumerate(self.layers)]
@@ -188,19 +196,31 @@ def fuzzy_union(edges: DataFrame) -> DataFrame:
 
 
 def smooth_knn(neighbours: DataFrame, iterations: int = 64) -> DataFrame:
-    """``head, tail, weight`` of ``head, tail, dist`` with ``k`` neighbours each: distances beyond the nearest decay so that a head's weights sum to log2 k."""
-
-    def one(table: pa.Table) -> pa.Table:
-        d = table.column("dist").to_numpy().astype(float)
-        goal, near = np.log2(max(2, len(d))), d[d > 0].min() if (d > 0).any() else 0.0
-        low, high, sigma = 0.0, np.inf, 1.0
-        for _ in range(iterations):
-            total = np.exp(-np.maximum(d - near, 0) / sigma).sum()
-            low, high = (low, sigma) if total > goal else (sigma, high)
-            sigma = sigma * 2 if np.isinf(high) else (low + high) / 2
-        return pa.table({"head": table.column("head"), "tail": table.column("tail"), "weight": np.exp(-np.maximum(d - near, 0) / max(sigma, 1e-3 * d.mean() if d.size else 1e-3, 1e-12))})
-
-    return neighbours.select("head", "tail", "dist").groupBy("head").applyInArrow(one, "head long, tail long, weight double")
+    """``head, tail, weight`` of ``head, tail, dist`` with ``k`` neighbours each: distances beyond the nearest decay so that a head's weights sum to log2 k. Thousands of heads are solved at once, as rows of one matrix."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 1):
+            head, dist = table.column("head").to_numpy(), table.column("dist").to_numpy().astype(float)
+            start = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
+            size = np.diff(np.append(start, len(head)))
+            row = np.repeat(np.arange(len(start)), size)
+            at = np.full((len(start), size.max()), np.inf)
+            at[row, np.arange(len(head)) - start[row]] = dist
+            positive = np.where(at > 0, at, np.inf).min(axis=1)
+            near = np.where(np.isinf(positive), 0.0, positive)
+            beyond, goal = np.maximum(at - near[:, None], 0), np.log2(np.maximum(2, size))
+            low, high, sigma = np.zeros(len(start)), np.full(len(start), np.inf), np.ones(len(start))
+            for _ in range(iterations):
+                over = np.exp(-beyond / sigma[:, None]).sum(axis=1) > goal
+                low, high = np.where(over, low, sigma), np.where(over, sigma, high)
+                sigma = np.where(np.isinf(high), sigma * 2, (low + high) / 2)
+            mean = np.add.reduceat(dist, start) / size
+            sigma = np.maximum(sigma, np.maximum(1e-3 * mean, 1e-12))
+            weight = np.exp(-np.maximum(dist - near[row], 0) / sigma[row])
+            yield pa.RecordBatch.from_arrays([table.column("head").combine_chunks(), table.column("tail").combine_chunks(), pa.array(weight)], names=["head", "tail", "weight"])
+
+    rows = neighbours.select(F.col("head").cast("long").alias("head"), F.col("tail").cast("long").alias("tail"), F.col("dist").cast("double").alias("dist"))
+    return rows.repartition("head").sortWithinPartitions("head", "dist", "tail").mapInArrow(solve, "head long, tail long, weight double")
 
 
 def scatter(results: DataFrame) -> DataFrame:

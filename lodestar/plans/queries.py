@@ -477,19 +477,6 @@ def edge_weights(spark, sf_dir):
     return semmap.edge_weights(e, 2)
 
 
-#: Points of a map's graph: all of them up to this many, beyond a sample by chunk.
-GRAPH_POINTS = 100_000
-
-
-@query()
-def fuzzy_graph(spark, sf_dir):
-    """Ten neighbours of every point of the map's sample among all of the sample."""
-    points = semmap.stratified(stored(spark, sf_dir), GRAPH_POINTS)
-    near = search.knn(points, points, 11).filter("query_id <> id")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).filter("rank <= 10")
-    return semmap.fuzzy_union(semmap.smooth_knn(near.select(F.col("query_id").alias("head"), F.col("id").alias("tail"), "dist")))
-
-
 @query()
 def pca_projection(spark, sf_dir):
     return semmap.pca_projection(table(spark, sf_dir, "embeddings"), id_="vec_id")
