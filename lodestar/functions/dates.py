@@ -29,10 +29,10 @@ def from_parts(year: Column, month: Column, day: Column, numeric_months: bool =
     return F.when(y.rlike(r"^\d+$"), F.coalesce(F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"), F.concat(y, F.lit("-01-01"))))
 
 
-def cascade(levels: list[tuple[Column, Column, Column]], free_text: Column) -> Column:
+def cascade(levels: list[tuple[Column, Column, Column]], free_text: Column, numeric_months: bool = False) -> Column:
     """The first level with a year; then a year of 1900 to 2099 in the free text; then nothing."""
     year = F.regexp_extract(F.coalesce(free_text, F.lit("")), r"\b((?:19|20)\d{2})\b", 1)
-    return F.coalesce(*(from_parts(*parts) for parts in levels), year)
+    return F.coalesce(*(from_parts(*parts, numeric_months) for parts in levels), year)
 
 
 def month_blocks(spark: SparkSession, start: str, end: str) -> DataFrame:

@@ -41,6 +41,39 @@ def plain_ascii(c: Column, full: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+#: The names of references to printable ASCII characters.
+ASCII_NAMES = dict(
+    zip(
+        "excl quot num dollar percnt apos lpar rpar ast plus comma period sol colon semi lt equals gt quest commat lsqb bsol rsqb Hat lowbar grave lcub verbar rcub".split(),
+        "! \" # $ % ' ( ) * + , . / : ; < = > ? @ [ \\ ] ^ _ ` { | }".split(),
+        strict=True,
+    )
+)
+
+
+def decoded(c: Column) -> Column:
+    """Character references decoded by expressions, for text of which only printable ASCII is kept: those to other characters, and names that aren't in ``ASCII_NAMES``, are removed."""
+
+    def numbered(part: Column) -> Column:
+        ten, sixteen = F.regexp_extract(part, "^([0-9]{1,9})", 1), F.regexp_extract(part, "^[xX]([0-9a-fA-F]{1,7})", 1)
+        code = F.when(ten != "", ten.cast("long")).when(sixteen != "", F.conv(sixteen, 16, 10).cast("long"))
+        rest = F.regexp_replace(part, "^(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,7});?", "")
+        return F.when(code.isNull(), F.concat(F.lit("&#"), part)).otherwise(F.concat(F.when(code == 38, "\x01").when(code.between(32, 126), F.chr(code)).otherwise(""), rest))
+
+    parts = F.split(c, "&#")
+    out = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), numbered), ""))
+    for name, char in ASCII_NAMES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    out = F.regexp_replace(F.replace(out, F.lit("&amp;"), F.lit("\x01")), "&[A-Za-z][A-Za-z0-9]{1,30};", "")
+    return F.when(c.contains("&"), F.replace(out, F.lit("\x01"), F.lit("&"))).otherwise(c)
+
+
+def display_form(c: Column) -> Column:
+    """``plain_ascii`` in generated code alone."""
+    out = F.regexp_replace(F.regexp_replace(decoded(F.coalesce(c, F.lit(""))), r"<[^>]+>", ""), r"[^\x20-\x7E]", "")
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
 @F.pandas_udf(StringType())
 def _latin(s: pd.Series) -> pd.Series:
     def one(x: str) -> str:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import io
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import cascade
-from ..functions.text import file_stem, one_line, plain_ascii, unescaped
+from ..functions.text import display_form, file_stem, one_line
 
 ARXIV = "id string, title string, abstract string, authors string, update_date string, categories string"
 #: Rows of a paper file.
@@ -20,8 +19,6 @@ FILE_ROWS = 25_000
 #: More than any header of a packed matrix takes.
 HEAD_BYTES = 4096
 RESERVED = ("accepted", "epublish", "aheadofprint", "ppublish")
-LEVEL = "struct<y:string,m:string,d:string>"
-RECORD = f"pmid string, version string, doi string, title string, type string, medline_ta string, journal_title string, authors string, abstract string, mesh_terms string, keywords string, chemicals string, dates array<{LEVEL}>, medline_date string, failed boolean"
 
 
 def arxiv_snapshot(spark: SparkSession, path: str, transliterate: bool = False) -> DataFrame:
@@ -37,71 +34,70 @@ def preprint_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns if c != "_corrupt_record"))
 
 
-def _date(node: ET.Element | None) -> dict:
-    return {"y": None, "m": None, "d": None} if node is None else {k: node.findtext(tag) for k, tag in (("y", "Year"), ("m", "Month"), ("d", "Day"))}
-
-
-def _texts(node: ET.Element, path: str) -> list[str]:
-    return [x.text.strip() for x in node.findall(path) if x.text]
-
-
-def _record(xml: str) -> dict:
-    """One article as plain fields; dates as parts, in the order in which they count."""
-    root = ET.fromstring(xml)
-    pmid, title = root.find(".//PMID"), root.find(".//ArticleTitle")
-    people = [[a.findtext(t) for t in ("ForeName", "MiddleName", "LastName")] for a in root.findall(".//AuthorList/Author")]
-    abstract = [(a.get("Label", "").strip(), "".join(a.itertext())) for a in root.findall(".//Abstract/AbstractText")]
-    mesh = [(h.findtext("DescriptorName"), _texts(h, "QualifierName")) for h in root.findall(".//MeshHeading")]
-    where = [".//Journal/JournalIssue/PubDate", './/ArticleDate[@DateType="Electronic"]', ".//DateCompleted", *(f'.//History/PubMedPubDate[@PubStatus="{s}"]' for s in RESERVED)]
-    return {
-        "pmid": (pmid.text or "").strip() if pmid is not None else "",
-        "version": pmid.get("Version", "") if pmid is not None else "",
-        "doi": next((x.text for x in root.findall(".//ArticleId") if x.get("IdType") == "doi" and x.text), ""),
-        "title": " ".join(t.strip() for t in title.itertext() if t.strip()) if title is not None else "",
-        "type": root.findtext(".//PublicationType") or "",
-        "medline_ta": root.findtext(".//MedlineTA") or "",
-        "journal_title": root.findtext(".//Journal/Title") or "",
-        "authors": "; ".join(filter(None, (" ".join(filter(None, p)) for p in people))),
-        "abstract": "\n".join(f"{label}: {text}" if label else text for label, text in ((label, " ".join(text.split())) for label, text in abstract)),
-        "mesh_terms": "; ".join(d.strip() + (f" [{', '.join(q)}]" if q else "") for d, q in mesh if d),
-        "keywords": "; ".join(_texts(root, ".//Keyword")),
-        "chemicals": "; ".join(_texts(root, ".//Chemical/NameOfSubstance")),
-        "dates": [_date(root.find(w)) for w in where],
-        "medline_date": root.findtext(".//MedlineDate"),
-        "failed": False,
-    }
-
-
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split(" ")[0] for x in RECORD.replace(f"dates array<{LEVEL}>", "dates x").split(", ")]
-    for frame in frames:
-        rows = []
-        for raw in frame["value"]:
-            start = max(raw.find("<PubmedArticle>"), raw.find("<PubmedArticle "))
-            if start < 0:
-                continue
-            try:
-                rows.append(_record(raw[start:] + "</PubmedArticle>"))
-            except ET.ParseError:
-                rows.append(dict.fromkeys(names, "") | {"dates": [], "failed": True})
-        yield pd.DataFrame(rows, columns=names)
+_DAY = "Year: string, Month: string, Day: string"
+#: The parts of an article that are read. A part with tags in its text is text with its tags.
+ARTICLE = f"""MedlineCitation struct<PMID: struct<_VALUE: string, _Version: string>, DateCompleted: struct<{_DAY}>,
+ Article: struct<Journal: struct<JournalIssue: struct<PubDate: struct<{_DAY}, MedlineDate: string>>, Title: string>, ArticleTitle: string, Abstract: string,
+  AuthorList: struct<Author: array<struct<ForeName: string, MiddleName: string, LastName: string>>>, PublicationTypeList: struct<PublicationType: array<string>>, ArticleDate: array<struct<_DateType: string, {_DAY}>>>,
+ MedlineJournalInfo: struct<MedlineTA: string>, ChemicalList: struct<Chemical: array<struct<NameOfSubstance: string>>>, MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: string, QualifierName: array<string>>>>,
+ KeywordList: array<struct<Keyword: array<string>>>>, PubmedData struct<History: struct<PubMedPubDate: array<struct<_PubStatus: string, {_DAY}>>>, ArticleIdList: struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>>, malformed string"""
+#: A tag, with the attributes it may have.
+TAG = r"</?[A-Za-z][^<>]*>"
+
+
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """``file, a`` for each article of XML files, gzipped or not: files are split at the end of each article, and an article is parsed alone by the built-in XML parser, so a malformed one (``a.malformed`` is its text) costs no other."""
+    rows = spark.read.text(path, lineSep="</PubmedArticle>").select(F.col("_metadata.file_path").alias("file"), "value")
+    begin = F.regexp_instr("value", F.lit(r"<PubmedArticle[\s>]"))
+    xml = F.concat(F.substring("value", begin, F.length("value")), F.lit("</PubmedArticle>"))
+    return rows.filter(begin > 0).select("file", F.from_xml(xml, ARTICLE, {"rowTag": "PubmedArticle", "columnNameOfCorruptRecord": "malformed"}).alias("a"))
+
+
+def failed_articles(spark: SparkSession, path: str) -> DataFrame:
+    """``file, articles, failed``: how many articles each file has, and how many of them can't be parsed."""
+    return articles(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("articles"), F.count("a.malformed").alias("failed"))
 
 
 def pubmed_xml(spark: SparkSession, path: str, prefer_full_title: bool = False, numeric_months: bool = False) -> DataFrame:
-    """Articles of XML files, gzipped or not, split at the end of each article; articles that can't be parsed are passed over.
+    """Articles of XML files as papers, by expressions; those that can't be parsed are passed over (``failed_articles`` counts them).
 
     ``prefer_full_title`` takes the journal's full title where there is one, otherwise the abbreviation counts.
     """
-    rows = spark.read.text(path, lineSep="</PubmedArticle>").select("value").mapInPandas(_parse, RECORD).filter(~F.col("failed"))
-    part = lambda k: (F.col("dates")[k]["y"], F.col("dates")[k]["m"], F.col("dates")[k]["d"])
-    tidy = lambda c: plain_ascii(F.col(c), full=True)
-    lines = F.array_join(F.transform(F.split(unescaped("abstract"), "\n"), lambda x: plain_ascii(x, full=False)), "\n")
-    names = ("medline_ta", "journal_title") if not prefer_full_title else ("journal_title", "medline_ta")
-    journal = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in names), F.lit(""))
+    c, d = "a.MedlineCitation", "a.PubmedData"
+    text = lambda x: F.coalesce(F.col(x), F.lit(""))
+    listed = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    some = lambda x: F.filter(x, lambda v: v.isNotNull() & (v != ""))
+    trimmed = lambda x: F.array_join(F.transform(some(listed(x)), F.trim), "; ")
+
+    def part(at: Column) -> tuple[Column, Column, Column]:
+        return at["Year"], at["Month"], at["Day"]
+
+    def one(list_: str, attribute: str, value: str) -> Column:
+        return F.get(F.filter(F.col(list_), lambda x: x[attribute] == value), F.lit(0))
+
+    def line(x: Column) -> Column:
+        label = F.trim(F.regexp_extract(x, r"^\s*<AbstractText[^<>]*\bLabel=\"([^\"]*)\"", 1))
+        own = display_form(F.regexp_replace(F.regexp_replace(x, r"^\s*<AbstractText[^<>]*>", ""), r"[\r\n\t]+", " "))
+        return F.when(label != "", F.concat(label, F.lit(": "), own)).otherwise(own)
+
+    parts = F.filter(F.split(text(f"{c}.Article.Abstract"), "</AbstractText>"), lambda x: x.contains("<AbstractText"))
+    people = F.transform(F.col(f"{c}.Article.AuthorList.Author"), lambda a: F.array_join(some(F.array(*(display_form(a[n]) for n in ("ForeName", "MiddleName", "LastName")))), " "))
+    mesh = F.transform(
+        F.filter(F.col(f"{c}.MeshHeadingList.MeshHeading"), lambda h: h["DescriptorName"].isNotNull()),
+        lambda h: F.concat(F.trim(h["DescriptorName"]), F.when(F.size(some(listed(h["QualifierName"]))) > 0, F.concat(F.lit(" ["), F.array_join(F.transform(some(listed(h["QualifierName"])), F.trim), ", "), F.lit("]"))).otherwise("")),
+    )
+    dates = [F.col(f"{c}.Article.Journal.JournalIssue.PubDate"), one(f"{c}.Article.ArticleDate", "_DateType", "Electronic"), F.col(f"{c}.DateCompleted"), *(one(f"{d}.History.PubMedPubDate", "_PubStatus", s) for s in RESERVED)]
+    names = (f"{c}.MedlineJournalInfo.MedlineTA", f"{c}.Article.Journal.Title")
+    journal = F.coalesce(*(F.when(F.col(n) != "", F.col(n)) for n in (reversed(names) if prefer_full_title else names)), F.lit(""))
+    rows = articles(spark, path).filter(F.col("a.malformed").isNull())
     return rows.select(
-        tidy("doi").alias("doi"), tidy("title").alias("title"), tidy("authors").alias("authors"),
-        cascade([part(k) for k in range(3 + len(RESERVED))], F.col("medline_date")).alias("date"),
-        "version", tidy("type").alias("type"), plain_ascii(journal).alias("journal"), lines.alias("abstract"), "pmid", "mesh_terms", "keywords", "chemicals",
+        display_form(F.get(F.filter(F.col(f"{d}.ArticleIdList.ArticleId"), lambda x: (x["_IdType"] == "doi") & (x["_VALUE"] != "")), F.lit(0))["_VALUE"]).alias("doi"),
+        display_form(F.regexp_replace(text(f"{c}.Article.ArticleTitle"), TAG, " ")).alias("title"),
+        F.array_join(some(listed(people)), "; ").alias("authors"),
+        cascade([part(x) for x in dates], F.col(f"{c}.Article.Journal.JournalIssue.PubDate.MedlineDate"), numeric_months).alias("date"),
+        text(f"{c}.PMID._Version").alias("version"), display_form(F.get(F.col(f"{c}.Article.PublicationTypeList.PublicationType"), F.lit(0))).alias("type"), display_form(journal).alias("journal"),
+        F.trim(F.array_join(F.transform(parts, line), "\n")).alias("abstract"), F.trim(text(f"{c}.PMID._VALUE")).alias("pmid"),
+        F.array_join(listed(mesh), "; ").alias("mesh_terms"), trimmed(F.flatten(F.col(f"{c}.KeywordList.Keyword"))).alias("keywords"), trimmed(F.col(f"{c}.ChemicalList.Chemical.NameOfSubstance")).alias("chemicals"),
     )
 
 
