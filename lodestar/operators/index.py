@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature
 from ..functions.vectors import hamming, similarity
+from ..sources.tables import Scratch
 from .search import limbs
 
 
@@ -80,29 +80,62 @@ def offsets(files: DataFrame, rows: str = "rows", order: str = "stem", source: s
     return files.withColumn("global_start", upto - F.col(rows)).withColumn("global_end", upto - 1)
 
 
-def _next_fit(capacity: int):
-    def run(table: pa.Table) -> pa.Table:
-        table, out, chunk, used = table.sort_by("name"), [], -1, capacity
-        for n in table.column("n").to_pylist():
-            if used + n > capacity:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
-        return pa.table({"_source": table.column("_source"), "_o": table.column("name"), "chunk_id": pa.array(out, pa.int64())})
-
-    return run
+def numbered(files: DataFrame, scratch: Scratch, rows: str = "rows", order: str = "stem", source: str = "source") -> DataFrame:
+    """``_source, _o, n, i, start``: each file's place in the order of its source, and the rows before it. Files are dealt by ranges of the order; sums of ranges are carried over, so no source is one task's work."""
+    kept = files.select(F.col(source).cast("string").alias("_source"), F.col(order).cast("string").alias("_o"), F.col(rows).cast("long").alias("n"))
+    # Written, as ranges come from a sample and have to stay.
+    ranged = scratch.write(kept.repartitionByRange("_source", "_o").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_source", "part").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("count"))
+    before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(F.col("_source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("_source", "part").orderBy("_o")
+    own = ranged.withColumn("k", F.row_number().over(inside) - 1).withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = own.join(F.broadcast(carried), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))  # a row for each source and range
+    return scratch.write(both.select("_source", "_o", "n", (F.col("first") + F.col("k")).alias("i"), (F.col("base") + F.col("upto") - F.col("n")).alias("start")), "numbered")
 
 
 def packed(files: DataFrame, capacity: int, rows: str = "rows", order: str = "stem", source: str = "source") -> DataFrame:
-    """``chunk_id`` by next fit in order, for each source: a file that doesn't fit opens a chunk; one larger than a chunk has it alone.
+    """``chunk_id`` by next fit in order, for each source: a file that doesn't fit opens a chunk; one larger than a chunk has it alone. Files of a source have distinct names, and rows of 0 or more.
 
-    Next fit goes through the files of a source one after the other: a row of metadata per file, in one pass.
+    The chunk that a file opens ends before the file that holds the row ``capacity`` further on, which an equi-join on cells of that many rows finds. From the first file of a source, pointers to the next chunk's first file are doubled until all chunks are reached.
     """
-    kept = files.select(F.col(source).cast("string").alias("_source"), F.col(order).cast("string").alias("name"), F.col(rows).cast("long").alias("n"))
-    placed = kept.groupBy("_source").applyInArrow(_next_fit(capacity), "_source string, _o string, chunk_id long")
+    placed = placed_files(files, capacity, rows, order, source).select("_source", "_o", "chunk_id")
     return files.join(placed, F.col(source).cast("string").eqNullSafe(F.col("_source")) & (F.col(order).cast("string") == F.col("_o"))).drop("_source", "_o")
 
 
+def placed_files(files: DataFrame, capacity: int, rows: str = "rows", order: str = "stem", source: str = "source") -> DataFrame:
+    """``_source, _o, n, start, chunk_id``, by the rule of :func:`packed`."""
+    scratch = Scratch(files.sparkSession, "packing")
+    each = numbered(files, scratch, rows, order, source)
+    cells = each.filter("n > 0").select(F.col("_source").alias("_s"), F.col("i").alias("holder"), F.col("start").alias("low"), (F.col("start") + F.col("n")).alias("high"), F.explode(F.sequence(F.expr(f"start div {capacity}"), F.expr(f"(start + n - 1) div {capacity}"))).alias("cell"))
+    asked = each.select("_source", "i", (F.col("start") + capacity).alias("at")).withColumn("_c", F.expr(f"at div {capacity}"))
+    holds = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("cell"))
+    step = asked.join(cells, holds).filter((F.col("low") <= F.col("at")) & (F.col("at") < F.col("high"))).select("_source", "i", F.greatest(F.col("i") + 1, "holder").alias("to"))
+    first = step = scratch.write(step.withColumn("to", F.col("to").cast("long")), "next")
+    starts = each.filter("i = 0").select("_source", F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("chunk_id"))
+    far = 1
+    while True:
+        hop = step.select(F.col("_source").alias("_s"), F.col("i").alias("_i"), "to")
+        on = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_i"))
+        reached = starts.join(hop, on).select("_source", F.col("to").alias("i"), (F.col("chunk_id") + far).alias("chunk_id"))
+        starts = scratch.write(starts.unionByName(reached), "starts")
+        after = step.select(F.col("_source").alias("_s"), F.col("i").alias("_i"), F.col("to").alias("then"))
+        step = scratch.write(step.join(after, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("to") == F.col("_i"))).select("_source", "i", F.col("then").alias("to")), f"hops-{far}")
+        far *= 2
+        if not step.head(1):
+            break
+    # A chunk has the files from its first to the next chunk's first; the last one has all that are left.
+    last = each.groupBy(F.col("_source").alias("_l")).agg((F.max("i") + 1).alias("end"))
+    ends = first.select(F.col("_source").alias("_s"), F.col("i").alias("_i"), "to")
+    spans = starts.join(ends, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_i")), "left").join(F.broadcast(last), F.col("_source").eqNullSafe(F.col("_l")))  # a row for each source
+    spans = spans.filter(F.col("i") < F.col("end"))  # the last file may be larger than a chunk, and points behind itself
+    own = spans.select(F.col("_source").alias("_s"), "chunk_id", F.explode(F.sequence("i", F.coalesce("to", "end") - 1)).alias("_i"))
+    out = each.join(own, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_i"))).select("_source", "_o", "n", "start", "chunk_id")
+    out = scratch.write(out, "placed")
+    scratch.keep("placed")
+    return out
+
+
 def intervals(metadata: DataFrame) -> DataFrame:
     """Chunk metadata (``chunks`` of ``parts``) flattened to ``global_start, global_end, source_stem, source_local_start``."""
     parts = metadata.select(F.explode("chunks").alias("c")).select(F.col("c.global_start").alias("base"), F.explode("c.parts").alias("p"))

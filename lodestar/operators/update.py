@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming, similarity
-from .index import offsets, packed
+from .index import placed_files
 from .search import limbs
 
 #: Where fetching begins without a state.
@@ -35,7 +35,9 @@ def extended(chunks: DataFrame, files: DataFrame, capacity: int, source: str = "
     """
     last = chunks.groupBy(F.col(source).alias("_s")).agg(F.max("chunk_id").alias("_last"), F.max_by("rows", "chunk_id").alias("_used"), F.sum("rows").alias("_all"))
     coming = files.groupBy(F.col(source).alias("_t")).agg(F.sum("rows").alias("_coming"))
-    placed = offsets(packed(files, capacity, order=stem, source=source), order=stem, source=source)
+    spots = placed_files(files, capacity, order=stem, source=source)
+    placed = files.join(spots, F.col(source).cast("string").eqNullSafe(F.col("_source")) & (F.col(stem).cast("string") == F.col("_o"))).drop("_source", "_o")
+    placed = placed.withColumn("global_start", F.col("start")).withColumn("global_end", F.col("start") + F.col("n") - 1)
     both = placed.join(coming, F.col(source) == F.col("_t")).join(last, F.col(source) == F.col("_s"), "left")
     fits = F.col("_last").isNotNull() & (F.col("_coming") + F.col("_used") <= capacity)
     chunk = F.when(fits, F.col("_last")).otherwise(F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("chunk_id"))
