@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.dates import paper_date
 from ..functions.text import stripped
+from ..sources.catalog import by_ids
 
 SOURCES = ("PubMed", "BioRxiv", "MedRxiv", "arXiv")
 RESULT = ("doi", "title", "authors", "date", "abstract", "score", "source", "journal")
@@ -102,7 +103,8 @@ def within_dates(df: DataFrame, start: str | None, end: str | None, date: str =
 
 
 def good_quality(df: DataFrame, abstract: str = "abstract", least: int = 75) -> DataFrame:
-    return df.filter(F.length(abstract) > least)
+    """Papers with an abstract of more than ``least`` characters; where the table has its length, the text isn't read."""
+    return df.filter((F.col("abstract_length") if "abstract_length" in df.columns else F.length(abstract)) > least)
 
 
 def strict_map_rows(df: DataFrame) -> DataFrame:
@@ -145,10 +147,11 @@ def harmonized(papers: DataFrame, source: str | None = None) -> DataFrame:
     return papers.select(*(named.get(c, F.col(c) if c in papers.columns else null).cast("double" if c == "score" else "string").alias(c) for c in RESULT))
 
 
-def search(codes: DataFrame, papers: DataFrame, query: Sequence[int], top_k: int = 10, start: str | None = None, end: str | None = None, high_quality: bool = False, per_chunk: int | None = None, prefilter: bool = False) -> DataFrame:
+def search(codes: DataFrame, papers: DataFrame, query: Sequence[int], top_k: int = 10, start: str | None = None, end: str | None = None, high_quality: bool = False, per_chunk: int | None = None, prefilter: bool = False, by_key: bool = False) -> DataFrame:
     """The whole search: hits of each source's chunks, fetched, filtered, deduplicated in rank order, cut at ``top_k`` and relabelled.
 
     ``codes`` has ``source, corpus_id, chunk_id`` and limbs; ``papers`` has ``source, corpus_id`` and the result's columns. ``prefilter`` filters before ranking instead of after.
+    ``by_key`` fetches the final papers by their ids, which are then known when the plan is made (``catalog.write_papers_by_key`` makes the table for it).
     The order is strict: score, then source, then id.
     """
     if not 1 <= top_k <= 100:
@@ -166,6 +169,10 @@ def search(codes: DataFrame, papers: DataFrame, query: Sequence[int], top_k: int
     place = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
     rows = narrow.join(hits, ["source", "corpus_id"]).select("source", "corpus_id", "doi", "title", "score", F.struct("dist", place.alias("place"), "corpus_id").alias("rank"))
     best = live_dedup(rows).orderBy("rank").limit(top_k).select("source", "corpus_id", "score", "rank")
+    if by_key:
+        ranked = best.select("source", "corpus_id", "score", F.col("rank.dist").alias("dist"), F.col("rank.place").alias("place")).collect()  # ``top_k`` rows
+        best = papers.sparkSession.createDataFrame(ranked, "source string, corpus_id long, score double, dist int, place int").withColumn("rank", F.struct("dist", "place", "corpus_id"))
+        papers = by_ids(papers, [(r.source, r.corpus_id) for r in ranked])
     top = papers.drop("score").join(F.broadcast(best), ["source", "corpus_id"]).orderBy("rank")  # 100 rows at most
     return top.select("doi", "title", "authors", "date", "abstract", "score", relabelled(F.col("source"), F.col("journal"), F.col("doi")).alias("source"), "journal", "corpus_id")
 

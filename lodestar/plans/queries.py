@@ -76,6 +76,17 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(_STORED[key])
 
 
+_KEYED: dict[tuple[str, str], DataFrame] = {}
+
+
+def keyed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers as an index has them: bucketed by key, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEYED:
+        _KEYED[key] = catalog.write_papers_by_key(papers(spark, sf_dir), f"{shared_dir(spark)}/lodestar/papers-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _KEYED[key]
+
+
 def first_query(c: DataFrame) -> list[int]:
     return [c.filter("id = 0").select("c0").first()[0]]
 
@@ -168,7 +179,7 @@ PIPE_SQL = f"""with {PAPERS_SQL}, {HITS_SQL},
 def _search(spark: SparkSession, sf_dir: str, per_chunk: int | None = None) -> DataFrame:
     c = stored(spark, sf_dir)
     where = c.withColumn("corpus_id", F.col("id")).withColumn("source", F.element_at(F.array(*map(F.lit, search.SOURCES)), (F.col("id") % 4).cast("int") + 1)).drop("id")
-    return search.search(where, papers(spark, sf_dir), first_query(c), 10, "2001-01-01", "2022-12-31", True, per_chunk)
+    return search.search(where, keyed_papers(spark, sf_dir), first_query(c), 10, "2001-01-01", "2022-12-31", True, per_chunk, by_key=True)
 
 
 @query(PIPE_SQL.replace("{pool}", str(search.raw_limit(10))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.update_run import Index, run_update
 from ..session import shared_dir
 from ..streaming.known import ingest_known
+from ..streaming.live import follow
 from .queries import EXTEND_SQL, query, table
 
 
@@ -47,3 +48,15 @@ def known_keys_ingest(spark, sf_dir):
     stayed = known.rows(d.schema).withColumn("kept", F.lit(True))
     first = d.filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("least"))
     return stayed.join(first, "text", "left").select(F.coalesce("least", "doc_id").alias("doc_id"), "kept", "text")
+
+
+@query("with s as (select user_id, epoch_ms(max(ts)) as last_seen from events group by user_id) select count(*) filter (where last_seen >= (select max(last_seen) from s) - 1000 * 7200) as active from s")
+def live_sessions(spark, sf_dir):
+    """Active sessions at the last tick of a stream of events: the changes that timers and events told, summed up to the newest event."""
+    root = f"{shared_dir(spark)}/lodestar/live-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("last_seen"))
+    e.write.parquet(f"{root}/in")
+    follow(spark, spark.readStream.schema(e.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint", horizon_s=7200)
+    now = e.agg(F.timestamp_millis(F.unix_millis(F.max("last_seen"))).alias("now"))
+    changes = spark.read.schema("session_id string, at timestamp, change int").parquet(f"{root}/out")
+    return changes.join(F.broadcast(now), F.col("at") <= F.col("now")).agg(F.coalesce(F.sum("change"), F.lit(0)).alias("active"))  # one row

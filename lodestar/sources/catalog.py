@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,21 @@ def write_codes(codes: DataFrame, path: str, mode: str = "append", by: str | Non
 def write_grid(cells: DataFrame, path: str) -> None:
     """Grid cells and histograms, one small table for a map: the cells bound its rows."""
     cells.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_papers_by_key(papers: DataFrame, path: str, buckets: int, row_group_bytes: int = 8 << 20) -> DataFrame:
+    """Papers bucketed and sorted by ``source, corpus_id``, with the abstract's length as a column of its own (``abstract_length``), and read back as a table: a join by that key needs no exchange on their side,
+    filters on quality read no abstracts, and row groups are skipped by ranges of ids. The session knows the table by a name that nothing else uses; its files lie at ``path``."""
+    name = f"papers_{uuid.uuid4().hex}"
+    out = papers.withColumn("abstract_length", F.length("abstract"))
+    writer = out.repartition(buckets, "source", "corpus_id").write.bucketBy(buckets, "source", "corpus_id").sortBy("source", "corpus_id").option("compression", "zstd").option("parquet.block.size", row_group_bytes)
+    writer.option("path", path).saveAsTable(name)
+    return papers.sparkSession.table(name)
+
+
+def by_ids(papers: DataFrame, ids: list[tuple[str, int]]) -> DataFrame:
+    """The papers of a bounded list of keys: the ids reach the scan, which skips row groups by them."""
+    where = F.lit(False)
+    for source in sorted({s for s, _ in ids}):
+        where |= (F.col("source") == source) & F.col("corpus_id").isin(sorted(i for s, i in ids if s == source))
+    return papers.filter(F.col("corpus_id").isin(sorted({i for _, i in ids})) & where)
