@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,13 @@ def knn(codes: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _is_day(text: str) -> bool:
+    try:
+        return date.fromisoformat(text).isoformat() == text
+    except ValueError:
+        return False
+
+
 def within_dates(df: DataFrame, start: str | None, end: str | None, date: str = "date") -> DataFrame:
     """Both ends count; without both, nothing is filtered. Rows whose date can't be read go."""
     if not (start and end):
@@ -156,6 +164,9 @@ def search(codes: DataFrame, papers: DataFrame, query: Sequence[int], top_k: int
     """
     if not 1 <= top_k <= 100:
         raise ValueError("top_k must be from 1 to 100")
+    for day in (start, end):
+        if day and not (len(day) == 10 and _is_day(day)):
+            raise ValueError(f"{day!r} is no day of the form YYYY-MM-DD")
 
     def kept(df: DataFrame) -> DataFrame:
         df = within_dates(df, start, end)

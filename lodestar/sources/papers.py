@@ -16,14 +16,18 @@ from ..functions.text import display_form, file_stem, one_line
 ARXIV = "id string, title string, abstract string, authors string, update_date string, categories string"
 #: Rows of a paper file.
 FILE_ROWS = 25_000
+#: Rows of a row group, bytes of a page.
+GROUP_ROWS, PAGE_BYTES = 10_000, 8 << 20
 #: More than any header of a packed matrix takes.
 HEAD_BYTES = 4096
 RESERVED = ("accepted", "epublish", "aheadofprint", "ppublish")
 
 
-def arxiv_snapshot(spark: SparkSession, path: str, transliterate: bool = False) -> DataFrame:
-    """JSON Lines records; malformed lines are passed over, missing fields are empty."""
+def arxiv_snapshot(spark: SparkSession, path: str, transliterate: bool = False, where: str | None = None, most: int | None = None) -> DataFrame:
+    """JSON Lines records; malformed lines are passed over, missing fields are empty. ``where`` is a condition on the fields as they are in the file, ``most`` a cap on the rows that meet it."""
     rows = spark.read.schema(ARXIV).option("mode", "DROPMALFORMED").json(path).filter(F.col("id").isNotNull())
+    rows = rows.filter(where) if where else rows
+    rows = rows if most is None else rows.limit(most)
     tidy = {c: one_line(F.coalesce(F.col(c), F.lit("")), transliterate) for c in ("title", "abstract", "authors")}
     return rows.select("id", *(tidy[c].alias(c) for c in tidy), F.coalesce("update_date", F.lit("")).alias("date"), "categories", F.concat(F.lit("https://arxiv.org/abs/"), "id").alias("doi"), F.coalesce("categories", F.lit("arXiv")).alias("journal"))
 
@@ -130,13 +134,12 @@ def npy_codes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(file_stem(F.col("path")).alias("stem"), "content").mapInPandas(load, "stem string, local_idx long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def write_papers(papers: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS, partition: str | None = "source") -> None:
-    """Sorted by date inside each file, so row groups have narrow ranges; zstd; bounded rows a file."""
+def write_papers(papers: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS, partition: str | None = "source", group_rows: int = GROUP_ROWS, page_bytes: int = PAGE_BYTES) -> None:
+    """Sorted by date inside each file, so row groups have narrow ranges; zstd, dictionaries and statistics; bounded rows a file and a row group."""
     out = papers.sortWithinPartitions("date") if "date" in papers.columns else papers
     writer = out.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", file_rows)
-    if partition and partition in papers.columns:
-        writer = writer.partitionBy(partition)
-    writer.parquet(path)
+    writer = writer.option("parquet.block.row.count.limit", group_rows).option("parquet.page.size", page_bytes).option("parquet.enable.dictionary", "true")
+    (writer.partitionBy(partition) if partition in papers.columns else writer).parquet(path)
 
 
 def write_lines(entries: DataFrame, path: str, column: str = "entry") -> None:
