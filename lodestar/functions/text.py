@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import html
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .latin import transliterated
+
 EDGE_SPACE = r"^\s+|\s+$"
 
 #: Common character references, for text without others.
@@ -74,17 +75,9 @@ def display_form(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-@F.pandas_udf(StringType())
-def _latin(s: pd.Series) -> pd.Series:
-    def one(x: str) -> str:
-        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
-
-    return s.map(lambda x: x if x is None or x.isascii() else one(x))
-
-
 def one_line(c: Column, transliterate: bool = False) -> Column:
-    """Runs of white space as one space, no space at the edges; accents removed on request."""
-    return F.trim(F.regexp_replace(_latin(c) if transliterate else c, r"\s+", " "))
+    """Runs of white space as one space, no space at the edges; in ASCII on request."""
+    return F.trim(F.regexp_replace(transliterated(c) if transliterate else c, r"\s+", " "))
 
 
 def signature(title: Column, abstract: Column) -> Column:
