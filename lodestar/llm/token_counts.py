@@ -27,6 +27,8 @@ from .common import partitions, text_batches
 BLOCK_BYTES = 24 << 20
 #: Documents whose frequencies travel in one row.
 PIECE_DOCS = 512
+#: Words whose pieces a task remembers, beside those of the row at hand.
+KNOWN_WORDS = 1 << 20
 SPACE_MARK = "▁"
 
 BLOCKS = "bucket int, block long, start long, words binary, ids array<long>, sizes array<long>, ends binary, places binary, times binary"
@@ -147,6 +149,8 @@ def _encode(model: str):
             for row in batch.to_pylist():
                 if row["words"] is not None:
                     words = _unzipped(row["words"]).split(b"\n\n")
+                    if len(known) > KNOWN_WORDS:
+                        known = {b"": 1}
                     if new := [w for w in words if w not in known]:
                         pieces = encoder.encode([w.replace(b"\n\r", b"\n").decode() for w in new], num_threads=1)
                         known.update(zip(new, map(len, pieces), strict=True))

@@ -1,4 +1,5 @@
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -27,3 +28,22 @@ def test_empty_table(spark):
 def test_pre_tokens_join_to_the_text():
     for text in filter(None, TEXTS):
         assert " ".join(pre_tokens(text)) == text.replace("▁", " ")
+
+
+def test_remembered_words_are_bounded(spark):
+    """Words that were forgotten are counted anew."""
+    import pyarrow as pa
+
+    from lodestar.llm import token_counts as module
+
+    rows = [["a", "bb", "ccc"], ["a", "dddd"], ["bb", "a"]]
+    encoder = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    names = [x.split(" ")[0] for x in module.BLOCKS.split(", ")]
+    made = [dict.fromkeys(names) | {"bucket": 0, "block": 0, "start": i, "words": module._zipped("\n\n".join(w).encode())} for i, w in enumerate(rows)]
+    kept, module.KNOWN_WORDS = module.KNOWN_WORDS, 2
+    try:
+        out = [r for b in module._encode(MODEL)(iter([pa.RecordBatch.from_pylist(made, schema=module._schema(module.BLOCKS))])) for r in b.to_pylist()]
+    finally:
+        module.KNOWN_WORDS = kept
+    got = [np.frombuffer(module._unzipped(r["counts"]), np.uint32).tolist() for r in out]
+    assert got == [[len(encoder.encode(w)) for w in row] for row in rows]
