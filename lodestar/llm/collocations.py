@@ -32,7 +32,8 @@ SHARD_WORDS, SPLIT_BYTES = 1 << 20, 1 << 20
 #: Bits of the filter of frequent strings: 16 for each, up to 2 MB.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 
-COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+#: A string's key is its language, a line feed, which no string holds, and the string: one short column to hash and shuffle.
+COUNTS = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 #: A-Z to a-z, a tab to a space, and all that ends a piece to a full stop.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -63,12 +64,17 @@ class Shard:
         self.size += len(words)
 
     def after(self, depth: int) -> Shard:
-        """An empty shard, with the words that stand before whatever comes next as context that isn't counted again."""
-        return Shard(pa.concat_arrays(self.parts)[-depth:] if depth else None)
+        """An empty shard, with the words that stand before whatever comes next as context that isn't counted again. To be asked before ``levels``, which gives up the words."""
+        first, size = len(self.parts), 0
+        while first and size < depth:
+            first -= 1
+            size += len(self.parts[first])
+        return Shard(pa.array(pa.concat_arrays(self.parts[first:])[-depth:].to_pylist(), pa.binary()) if depth else None)
 
     def levels(self, depth: int, frequent: np.ndarray | None, lang: str) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
         """Level 0 has the empty string, level d the strings of d words: the strings and how often each ends somewhere. With ``frequent``, the last level is the only one, and holds no string whose own parts of one word less aren't frequent."""
         encoded = pa.concat_arrays(self.parts).dictionary_encode()
+        self.parts = []
         vocabulary = encoded.dictionary.cast(pa.string())
         ids = encoded.indices.to_numpy().astype(np.int64)
         ends = np.flatnonzero(ids)
@@ -137,11 +143,11 @@ def phrase_counts(docs: DataFrame, depth: int, frequent: np.ndarray | None = Non
 
     def told(shards: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
         for lang, shard in shards.items():
-            for d, strings, count in shard.levels(depth, frequent, lang):
-                step = 1 << 16
-                for i in range(0, len(count), step):
-                    m = len(count[i : i + step])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(m, np.int32))), pa.array(np.full(m, d, np.int32)), strings[i : i + step], pa.array(count[i : i + step], pa.int64())], schema=COUNTS)
+            begin = pa.scalar(f"{lang}\n")
+            for _, strings, count in shard.levels(depth, frequent, lang):
+                for i in range(0, len(count), 1 << 16):
+                    some = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(begin, strings[some], ""), pa.array(count[some], pa.int64())], schema=COUNTS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: defaultdict[str, Shard] = defaultdict(Shard)
@@ -153,14 +159,18 @@ def phrase_counts(docs: DataFrame, depth: int, frequent: np.ndarray | None = Non
                     shards[lang].add(words)
                     total += len(words)
                     if total >= shard_words:
-                        yield from told(shards)
                         rest, total = shards[lang].after(depth - 1), 0
+                        yield from told(shards)
                         shards.clear()
                         shards[lang] = rest
         yield from told(shards)
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "lang string, words int, phrase string, n long")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "key string, n long")
+    summed = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    return summed.select(lang.alias("lang"), words.alias("words"), phrase.alias("phrase"), "n")
 
 
 def _filter(frequent: DataFrame, words: int) -> np.ndarray:
@@ -173,7 +183,7 @@ def _filter(frequent: DataFrame, words: int) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, least: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``lang, words, phrase, n`` of all strings of up to ``max_words`` words that occur ``least`` times, and for each language the number of its words (0 words). The table is written."""
-    out = level = written(phrase_counts(docs, min(2, max_words), None, shard_words).filter((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    out = level = written(phrase_counts(docs, min(2, max_words), None, shard_words).filter((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
     for d in range(3, max_words + 1):
         shorter = level.filter(F.col("words") == d - 1)
         level = written(phrase_counts(docs, d, _filter(shorter, d - 1), shard_words).filter(F.col("n") >= least), "phrases")
