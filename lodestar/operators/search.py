@@ -15,6 +15,7 @@ from ..functions.dates import paper_date
 from ..functions.text import stripped
 from ..sources.catalog import by_ids
 
+# The names of sources, and the columns of a result in their order.
 SOURCES = ("PubMed", "BioRxiv", "MedRxiv", "arXiv")
 RESULT = ("doi", "title", "authors", "date", "abstract", "score", "source", "journal")
 #: Queries that one reading of the codes serves: 40 bytes each for their codes and ids, and 16 bytes for each neighbour kept.
@@ -43,7 +44,7 @@ def topk_per_chunk(codes: DataFrame, query: Sequence[int], k: int, chunk: Sequen
 
 
 def raw_limit(top_k: int) -> int:
-    """Hits that each chunk of the index yields."""
+    """Hits that each chunk of the index yields: fixed values."""
     return max(5000, 100 * top_k)
 
 
@@ -77,6 +78,7 @@ def knn(codes: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK)
     """``query_id, id, dist, rank``: the ``k`` nearest rows of each query, exact, ties by id.
 
     ``codes`` and ``queries`` have ``id`` and limbs. Queries go out in blocks of a bounded size, each with one reading of the codes; a task keeps ``k`` rows for each, so pairs are never shuffled.
+    What is shuffled is tasks x queries x k rows at most: few and large partitions of codes keep it small, and a task leaves out queries that nothing in it is near to.
     """
     columns, found, held = limbs(codes), None, []
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def ingest_new(spark: SparkSession, source: str, schema, key: str | Column, target: str, checkpoint: str, fmt: str = "parquet") -> int:
     """Append to ``target`` the rows of new files whose key was never seen, and return how many rows came in.
 
-    Files and keys are remembered in the checkpoint, so a run picks up where the last one ended. State grows with the keys: it holds one entry for each.
+    Files and keys are remembered in the checkpoint, so a run picks up where the last one ended. State grows with the keys: it holds one entry for each (``known.ingest_known`` keeps them in a table instead).
     """
     rows = spark.readStream.format(fmt).schema(schema).load(source)
     keyed = rows.withColumn("_key", F.col(key) if isinstance(key, str) else key).dropDuplicates(["_key"]).drop("_key")
@@ -19,7 +19,10 @@ def ingest_new(spark: SparkSession, source: str, schema, key: str | Column, targ
 
 
 def ingest_anti_join(spark: SparkSession, source: str, schema, key: str, target: str, checkpoint: str, fmt: str = "parquet") -> int:
-    """The same with a batch anti-join against ``target``: no state beside the table itself."""
+    """The same with a batch anti-join against ``target``: no state beside the table itself, all of whose keys each batch reads.
+
+    A batch that is repeated after a failure between its append and its commit adds rows without a key again; ``known.ingest_known`` has neither limit.
+    """
     from ..operators.index import new_rows
 
     def append(batch: DataFrame, _: int) -> None:

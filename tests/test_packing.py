@@ -18,7 +18,7 @@ def brute(files, capacity):
     return out
 
 
-@pytest.mark.parametrize("seed,capacity", [(1, 10), (2, 1), (3, 1000), (4, 7), (5, 50)])
+@pytest.mark.parametrize("seed,capacity", [(2, 1), (3, 1000), (4, 7)])
 def test_next_fit(spark, seed, capacity):
     rng = random.Random(seed)
     files = [(s, f"f{i:03d}", rng.choice([0, 0, 1, 2, 3, 9, 10, 11, 35])) for s in ("a", "b", "c d", None) for i in range(rng.choice([1, 3, 60, 90]))]
