@@ -2,7 +2,7 @@
 
 Positions are a table ``id, x, y``, written anew each epoch. An edge takes part in an epoch with a chance of its weight over the largest, by a hash of its ends and the epoch. An edge that takes part pulls its ends together, and its head is pushed from
 ``negatives`` samples: points are dealt to as many slots as there are points by a hash of id and epoch, and a sample is what lies in the slot that a hash of edge and epoch names, one point on average, so no table of numbers is needed and no rows are paired.
-Moves of a point are summed by partial aggregates, so a point with many edges is no single task's work. Everything depends on ids, weights and the seed only.
+Moves of a point are summed by partial aggregates, so a point with many edges is no single task's work. The sum counts by the edges that take part at the point: all ends move at once, so the whole sum would carry a point past its neighbours, the further the more edges it has. Everything depends on ids, weights and the seed only.
 """
 
 from __future__ import annotations
@@ -52,11 +52,14 @@ def epoch_moved(edges: DataFrame, positions: DataFrame, n: int, most: float, rat
     ex, ey = F.col("head_x") - F.col("other_x"), F.col("head_y") - F.col("other_y")
     away = ex * ex + ey * ey
     push = 2.0 * B / ((NEAR + away) * (1.0 + A * F.pow(away, F.lit(B))))
-    pushed = drawn.select(F.col("head").alias("id"), _clipped(push * ex).alias("mx"), _clipped(push * ey).alias("my"))
-    moves = pulled.select(F.col("head").alias("id"), F.col("px").alias("mx"), F.col("py").alias("my")).unionByName(pulled.select(F.col("tail").alias("id"), (-F.col("px")).alias("mx"), (-F.col("py")).alias("my"))).unionByName(pushed)
+    pushed = drawn.select(F.col("head").alias("id"), _clipped(push * ex).alias("mx"), _clipped(push * ey).alias("my"), F.lit(0).alias("ends"))
+    one = F.lit(1).alias("ends")
+    moves = pulled.select(F.col("head").alias("id"), F.col("px").alias("mx"), F.col("py").alias("my"), one).unionByName(pulled.select(F.col("tail").alias("id"), (-F.col("px")).alias("mx"), (-F.col("py")).alias("my"), one)).unionByName(pushed)
     # Sums of whole millionths don't depend on their order.
     whole = lambda c: F.sum(F.round(F.col(c) * 1e6).cast("long")) / 1e6
-    summed = moves.groupBy("id").agg(whole("mx").alias("mx"), whole("my").alias("my"))
+    # An edge stands in the graph once for each direction, so a point has two ends of it.
+    edges_of = F.greatest(F.sum("ends") / 2, F.lit(1.0))
+    summed = moves.groupBy("id").agg((whole("mx") / edges_of).alias("mx"), (whole("my") / edges_of).alias("my"))
     return positions.join(summed, "id", "left").select("id", (F.col("x") + rate * F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + rate * F.coalesce("my", F.lit(0.0))).alias("y"))
 
 

@@ -118,3 +118,15 @@ def test_weights_of_many_heads(spark):
             sigma = sigma * 2 if np.isinf(high) else (low + high) / 2
         want = np.exp(-np.maximum(d - near, 0) / max(sigma, 1e-3 * d.mean(), 1e-12))
         assert [got[h][t] for a, t, _ in rows if a == h] == pytest.approx(want.tolist())
+
+
+def test_loss_falls_where_points_have_many_edges(spark):
+    """All ends of a point's edges move at once: their whole sum would throw it past its neighbours."""
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=(300, 2)) * 3
+    near = np.argsort(((at[:, None] - at[None]) ** 2).sum(axis=2), axis=1)[:, 1:31]
+    ends = {(i, int(j)) for i in range(300) for j in near[i]}
+    edges = spark.createDataFrame([(i, j, 1.0) for i, j in sorted(ends | {(j, i) for i, j in ends})], "head long, tail long, weight double")
+    start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
+    losses = [layout_loss(edges, p) for p in layout(edges, start, epochs=10, every=5)]
+    assert losses[0] > losses[1] > losses[2]
