@@ -111,10 +111,11 @@ def _local(most: int):
     return run
 
 
-def approximate_knn(codes: DataFrame, k: int = 15, tables: int = 4, rounds: int = 8, held: int | None = None, block: int = BLOCK, seed: int = 42) -> DataFrame:
+def approximate_knn(codes: DataFrame, k: int = 15, tables: int | None = None, rounds: int = 8, held: int | None = None, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """``head, tail, dist``: about the ``k`` nearest rows of each row of ``codes`` (``id`` and limbs, ids distinct), without itself.
 
     Lists of ``held`` rows (three times ``k``) are refined and cut at the end: the less structure the codes have, the longer lists have to be.
+    Buckets keep their size while rows grow, so two near rows agree in all of a table's bits the more seldom the more bits it has: there are three tables for each bit (four at least), and each gives its share of first entries.
     """
     spark, columns = codes.sparkSession, limbs(codes)
     scratch = Scratch(spark, "neighbours")
@@ -124,6 +125,7 @@ def approximate_knn(codes: DataFrame, k: int = 15, tables: int = 4, rounds: int
 
     # Sampled bits of each table, as many as leave a bucket half a block on average.
     width, chosen = max(1, math.ceil(math.log2(max(2, 2 * n / block)))), random.Random(seed)
+    tables = max(4, 3 * width) if tables is None else tables
     keys = []
     for _ in range(tables):
         bits = chosen.sample(range(64 * len(columns)), min(width, 63))
@@ -133,7 +135,7 @@ def approximate_knn(codes: DataFrame, k: int = 15, tables: int = 4, rounds: int
     counts = scratch.write(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")), "buckets")
     parts = F.ceil(F.col("size") / block)
     blocks = dealt.join(counts, ["t", "key"]).select(F.xxhash64("t", "key", F.pmod(F.xxhash64(F.lit(seed), "t", "id"), parts)).alias("block"), "id", "code")
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_met(held), EDGES)
+    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_met(max(1, -(-4 * held // tables))), EDGES)
 
     def cut(edges: DataFrame) -> DataFrame:
         return scratch.write(edges.repartition("head").sortWithinPartitions("head", "dist", "tail", "fresh").mapInArrow(_shortened(held), EDGES), "lists")

@@ -48,6 +48,14 @@ def test_most_neighbours_are_found(spark, n, limbs, centers):
     assert r.queries == n and r.recall >= (0.95 if centers else 0.9)
 
 
+def test_recall_holds_while_buckets_get_narrow(spark):
+    """Many buckets for their rows, as a large table has them: two near rows seldom agree in all of a table's bits."""
+    codes = codes_of(spark, 4000, 1).cache()
+    heads = codes.filter("id % 60 = 0")
+    exact_ = search.knn(codes, heads, 6).filter("query_id <> id").withColumn("n", F.expr("row_number() over (partition by query_id order by dist, id)")).filter("n <= 5")
+    assert recall(approximate_knn(codes, 5, held=10, block=16, rounds=2), exact_).first().recall >= 0.65
+
+
 def test_same_graph_however_rows_are_stored(spark):
     codes = codes_of(spark, 300, 1, 5)
     a, b = (sorted(map(tuple, approximate_knn(c, 5, block=32).collect())) for c in (codes, codes.repartition(7).orderBy(F.desc("id"))))
