@@ -1,7 +1,7 @@
 """Training of map projections: mini-batch gradients summed by tasks, Adam on the driver over a fixed number of weights.
 
 Pairs of vectors are written once as blocks of a fixed number of rows, dealt to mini-batches by a hash of the id. A step reads one batch; each block gives the sum of its gradients, and the driver adds the sums of a batch in block order, so reruns give the same weights bit by bit.
-The driver holds the weights and the gradients of the blocks of one batch (``batch_rows / BLOCK_ROWS`` times the weights), whatever the table's size.
+A step is a job, so an epoch has ``MOST_BATCHES`` steps at most, and larger tables have larger batches; all rows are in one of them. The driver holds the weights and the gradients of the blocks of one batch: blocks grow too, and are ``MOST_BLOCKS`` at most.
 
 Between layers stand a batch norm (over a block while training, over running means when exported: it is folded into weights and biases) and a ramp. Inputs and targets are scaled to unit spread, which is folded into the first and last layer.
 Rows where either vector is null or holds one, or has another length than the first row's, aren't trained on. Without rows there is no projection.
@@ -20,6 +20,8 @@ from ..sources.tables import Scratch, groups
 from .semmap import Projection
 
 BLOCK_ROWS = 512
+#: Batches of an epoch, and blocks of a batch, at most.
+MOST_BATCHES = MOST_BLOCKS = 64
 #: Of Adam, and of a batch norm.
 RATES, TINY, MOMENTUM = (0.9, 0.999), 1e-8, 0.9
 
@@ -85,8 +87,14 @@ def _shaped(flat: np.ndarray, like: Sequence[Layer]) -> list[Layer]:
     return out
 
 
+def dealing(n: int, batch_rows: int) -> tuple[int, int]:
+    """Batches of an epoch and blocks of a batch for ``n`` rows."""
+    batches = min(MOST_BATCHES, max(1, round(n / batch_rows)))
+    return batches, min(MOST_BLOCKS, max(1, round(n / batches / BLOCK_ROWS)))
+
+
 def train_projection(rows: DataFrame, vector: str = "embedding", target: str = "target", id_: str = "id", hidden: Sequence[int] = (64,), epochs: int = 30, batch_rows: int = 4096, rate: float = 0.01, seed: int = 42) -> Projection | None:
-    """A projection from ``vector`` to ``target`` (arrays of numbers), trained on all ``rows``. The rate falls to a tenth over the epochs."""
+    """A projection from ``vector`` to ``target`` (arrays of numbers), trained on all ``rows``. Batches have ``batch_rows`` rows, or more if there would be over ``MOST_BATCHES``. The rate falls to a tenth over the epochs."""
     spark = rows.sparkSession
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
     pairs = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("array<double>").alias("t")).filter(whole("v") & whole("t"))
@@ -106,8 +114,7 @@ def train_projection(rows: DataFrame, vector: str = "embedding", target: str = "
 
     (v_mean, v_spread), (t_mean, t_spread) = (tuple(np.round(x, 9) for x in spread(c, s)) for c, s in (("v", wide), ("t", out)))
     v_spread, t_spread = np.maximum(v_spread, 1e-9), np.maximum(t_spread, 1e-9)
-    batches = max(1, round(n / batch_rows))
-    blocks = max(1, round(n / batches / BLOCK_ROWS))
+    batches, blocks = dealing(n, batch_rows)
     dealt = pairs.select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(batches)).cast("long").alias("batch"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(blocks)).cast("long").alias("block"), "id", "v", "t")
     packed = dealt.repartition("batch", "block").sortWithinPartitions("batch", "block", "id").mapInArrow(_packed, "batch long, block long, n long, vectors binary, targets binary")
     path = f"{scratch.root}/blocks"

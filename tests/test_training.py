@@ -10,7 +10,7 @@ from lodestar.operators import semmap
 from lodestar.operators.layout import layout, layout_loss
 from lodestar.operators.neighbours import approximate_knn
 from lodestar.operators.semmap import Projection
-from lodestar.operators.training import _flat, _gradient, _shaped, squared_error, train_projection
+from lodestar.operators.training import _flat, _gradient, _shaped, dealing, squared_error, train_projection
 
 
 def pairs(spark, n=3000, seed=3):
@@ -130,3 +130,11 @@ def test_loss_falls_where_points_have_many_edges(spark):
     start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
     losses = [layout_loss(edges, p) for p in layout(edges, start, epochs=10, every=5)]
     assert losses[0] > losses[1] > losses[2]
+
+
+def test_steps_of_an_epoch_do_not_grow_with_the_table():
+    assert dealing(3000, 600) == (5, 1) and dealing(500, 1024) == (1, 1)
+    assert dealing(60_000, 1024) == (59, 2)
+    for n in (615_000, 10**9):
+        batches, blocks = dealing(n, 1024)
+        assert batches <= 64 and blocks <= 64
