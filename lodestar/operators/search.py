@@ -20,6 +20,8 @@ SOURCES = ("PubMed", "BioRxiv", "MedRxiv", "arXiv")
 RESULT = ("doi", "title", "authors", "date", "abstract", "score", "source", "journal")
 #: Queries that one reading of the codes serves: 40 bytes each for their codes and ids, and 16 bytes for each neighbour kept.
 QUERY_BLOCK = 1 << 16
+#: Codes that are compared at once: sessions whose rows are texts have small batches.
+GATHER_ROWS = 1 << 14
 
 
 def limbs(df: DataFrame) -> list[str]:
@@ -48,19 +50,36 @@ def raw_limit(top_k: int) -> int:
     return max(5000, 100 * top_k)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], at_least: int = GATHER_ROWS) -> Iterator[pa.Table]:
+    """Batches of any size as tables of about ``at_least`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= at_least:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _nearest(ids: np.ndarray, limbs_: np.ndarray, k: int):
     """A task's ``k`` nearest rows of each query. Only queries that a batch has something near for are touched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.iinfo(np.int64).max
         dist, near = np.full((len(ids), k), far), np.full((len(ids), k), far)
-        for batch in batches:
-            real = batch.filter(batch.column(1).is_valid())
+        for rows in _gathered(batches):
+            real = rows.filter(rows.column(1).is_valid()).combine_chunks()
             own = real.column(0).to_numpy()
-            code = np.stack([real.column(i).to_numpy() for i in range(1, real.num_columns)], axis=1)
+            code = [real.column(i).to_numpy() for i in range(1, real.num_columns)]
+            # A byte holds the distance of three limbs.
+            kind = np.uint8 if len(code) <= 3 else np.uint16
             for a in range(0, len(ids) if len(own) else 0, 16):
-                apart = np.bitwise_count((code[None] ^ limbs_[a : a + 16, None]).view(np.uint64)).sum(axis=2, dtype=np.int64)
-                there = apart <= dist[a : a + 16, -1:]
+                apart = np.zeros((len(limbs_[a : a + 16]), len(own)), kind)
+                for i, c in enumerate(code):
+                    apart += np.bitwise_count((c[None] ^ limbs_[a : a + 16, i, None]).view(np.uint64))
+                there = apart <= np.minimum(dist[a : a + 16, -1:], np.iinfo(kind).max).astype(kind)
                 for j in np.flatnonzero(there.any(axis=1)).tolist():
                     d, i = np.concatenate([dist[a + j], apart[j][there[j]]]), np.concatenate([near[a + j], own[there[j]]])
                     if len(d) > 4 * k:
@@ -78,13 +97,14 @@ def knn(codes: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK)
     """``query_id, id, dist, rank``: the ``k`` nearest rows of each query, exact, ties by id.
 
     ``codes`` and ``queries`` have ``id`` and limbs. Queries go out in blocks of a bounded size, each with one reading of the codes; a task keeps ``k`` rows for each, so pairs are never shuffled.
-    What is shuffled is tasks x queries x k rows at most: few and large partitions of codes keep it small, and a task leaves out queries that nothing in it is near to.
+    Pairs are compared by as many tasks as the cluster has cores (codes are small, a table of them may be a file or two), and what is shuffled is tasks x queries x k rows at most.
     """
     columns, found, held = limbs(codes), None, []
+    dealt = codes.select("id", *columns).repartition(codes.sparkSession.sparkContext.defaultParallelism)
 
     def probe(rows: list) -> DataFrame:
         ids, code = np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.int64)
-        return codes.select("id", *columns).mapInArrow(_nearest(ids, code, k), "query_id long, id long, dist long")
+        return dealt.mapInArrow(_nearest(ids, code, k), "query_id long, id long, dist long")
 
     for row in queries.select("id", *columns).filter(F.col(columns[0]).isNotNull()).toLocalIterator():
         held.append(tuple(row))

@@ -88,3 +88,13 @@ def test_a_near_search_reads_part_of_the_index(spark, tmp_path):
         files = lambda df: df.select("_metadata.file_path").distinct().count()
         assert 0 < files(read) < files(index.table(spark)) / (4 if radius else 10)
         assert read.count() < index.table(spark).count() / (4 if radius else 10)
+
+
+def test_a_single_file_of_codes_is_searched_by_many_tasks(spark):
+    one = codes_of(spark, 600, 2).coalesce(1)
+    found = search.knn(one, one.filter("id % 30 = 0"), 7)
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    own = {r[0]: r[1:] for r in one.collect() if r[1] is not None}
+    apart = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(own[a], own[b], strict=True))
+    want = {(q, i, d) for q in own if q % 30 == 0 for d, i in sorted((apart(q, i), i) for i in own)[:7]}
+    assert {(r.query_id, r.id, r.dist) for r in found.collect()} == want
