@@ -46,8 +46,10 @@ def known_keys_ingest(spark, sf_dir):
     d.repartition(8).write.option("maxRecordsPerFile", 1 << 16).parquet(f"{root}/in")
     known = ingest_known(spark, f"{root}/in", d.schema, "text", f"{root}/out", f"{root}/checkpoint", files_per_batch=3)
     stayed = known.rows(d.schema).withColumn("kept", F.lit(True))
-    first = d.filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("least"))
-    return stayed.join(first, "text", "left").select(F.coalesce("least", "doc_id").alias("doc_id"), "kept", "text")
+    # Texts are joined by their digests, so whole ones are shuffled on one side only.
+    name = F.sha2("text", 256).alias("name")
+    first = d.filter("text is not null").groupBy(name).agg(F.min("doc_id").alias("least"))
+    return stayed.withColumn("name", name).join(first, "name", "left").select(F.coalesce("least", "doc_id").alias("doc_id"), "kept", "text")
 
 
 @query("with s as (select user_id, epoch_ms(max(ts)) as last_seen from events group by user_id) select count(*) filter (where last_seen >= (select max(last_seen) from s) - 1000 * 7200) as active from s")

@@ -1,10 +1,10 @@
 """Ingest that remembers its keys in a table instead of the stream's state.
 
-Known keys lie in folders by bucket, with a fixed bit filter for each bucket and batch. A batch looks at the filters of its own buckets only: what they reject is new for certain, and only for what they pass are the keys of those buckets read, to be compared exactly.
+Known keys lie in folders by bucket, with a fixed bit filter for each bucket and batch. A batch looks at the filters of its own buckets only: what they reject is new for certain, and only for what they pass are the keys of those buckets read, to be compared. Keys of more than ``SHORT`` bytes, such as whole texts, are stored and compared by their SHA-256, so a key is never larger than its digest; shorter ones as they are.
 So a batch reads in proportion to its own rows, and nothing is kept in memory between batches. Rows, keys and filters of a batch are written under its number and count from the commit of one version that names them: a batch that is repeated after a failure, rows without a key included, is written once.
 
 Batches are merged by size, so their number stays near the logarithm of the table's; and when buckets outgrow ``bucket_keys``, the table is dealt out anew to four times as many.
-Of rows with one key in a batch the one with the smallest hash of all its columns stays; rows without a key all stay.
+Of rows with one key in a batch the one with the smallest hashes of all its columns stays; rows without a key all stay.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from ..sources.versions import Versions
 
 #: Keys of a bucket; bits of a filter for each key, and how many of them a key sets.
 BUCKET_KEYS, BITS, SET = 50_000, 12, 6
+#: Keys up to this many bytes are stored as they are.
+SHORT = 64
 #: Of batches of less than twice the next larger one's keys this many are merged.
 MERGED = 4
 
@@ -73,24 +75,28 @@ class KnownKeys:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _keyed(self, rows: DataFrame, buckets: int) -> DataFrame:
-        key: Column = F.expr(self.key).cast("string")
+        whole: Column = F.expr(self.key).cast("string")
+        # A mark tells short keys from digests.
+        key = F.when(F.octet_length(whole) <= SHORT, F.concat(F.lit("="), whole)).otherwise(F.sha2(whole, 256))
         return rows.select(F.struct("*").alias("row"), key.alias("key")).withColumn("hash", F.xxhash64("key")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(buckets)))
 
     def new(self, batch: DataFrame, content: dict) -> DataFrame:
         """``row, key, hash, bucket`` of what isn't known, one row for each key, and all rows without one."""
         buckets = content.get("buckets", 1)
         keyed = self._keyed(batch, buckets)
-        order = Window.partitionBy("key").orderBy(F.xxhash64("row"), F.to_json("row"))
+        # Two hashes with seeds of their own: rows that agree in both are equal. A row goes over one shuffle, its place among those of its key by 16 bytes.
+        order = Window.partitionBy("key").orderBy(F.xxhash64("row"), F.xxhash64(F.lit(1), "row"))
         once = keyed.filter("key is not null").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
         if content.get("keys"):
-            touched = sorted(r[0] for r in once.select("bucket").distinct().collect())  # no more than there are buckets
+            names = keyed.filter("key is not null").select("bucket", "hash", "key")
+            touched = sorted(r[0] for r in names.select("bucket").distinct().collect())  # no more than there are buckets
             filters = self._read("filters", [k["name"] for k in content["keys"]], "bits binary, bucket long").filter(F.col("bucket").isin(touched))
-            asked = once.select("bucket", "hash", "key")
+            asked = names.distinct()
             maybe = asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_passed, "bucket long, hash long, key string")
             near = sorted(r[0] for r in maybe.select("bucket").distinct().collect())
             stored = self._read("keys", [k["name"] for k in content["keys"]], "key string, hash long, bucket long").filter(F.col("bucket").isin(near))
             seen = maybe.join(stored, ["bucket", "hash", "key"], "left_semi")
-            once = once.join(seen, ["bucket", "hash", "key"], "left_anti").select("row", "key", "hash", "bucket")
+            once = once.join(seen.select("key"), "key", "left_anti").select("row", "key", "hash", "bucket")
         return once.unionByName(keyed.filter("key is null"))
 
     def _write_keys(self, keys: DataFrame, name: str) -> None:

@@ -150,3 +150,15 @@ def test_stream(spark, tmp_path):
     rows.limit(3).selectExpr("id", "'late' as text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     known = ingest_known(spark, f"{tmp_path}/in", rows.schema, "text", f"{tmp_path}/out", f"{tmp_path}/check")
     assert known.rows(rows.schema).filter("text = 'late'").count() == 1
+
+
+def test_long_keys_are_stored_as_digests(spark, tmp_path):
+    """Keys of any length are told apart, and what is stored of one is no longer than its digest."""
+    texts = ["a" * 5000, "a" * 5001, "x" * 64, "x" * 65, "é" * 40, "", None, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "id long, text string")
+    known = KnownKeys(spark, str(tmp_path), "text")
+    assert known.ingest(rows.filter("id < 3"), 0) == 3
+    assert known.ingest(rows, 1) == 7
+    assert sorted(r.text or "" for r in known.rows(rows.schema).collect()) == sorted([*(t or "" for t in texts), "", ""])
+    keys = known._read("keys", [k["name"] for k in known.versions.latest()[1]["keys"]], "key string, hash long, bucket long")
+    assert sorted(len(r.key) for r in keys.collect()) == [1, 64, 64, 64, 64, 65]
