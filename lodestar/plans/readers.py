@@ -124,8 +124,10 @@ def preprint_arrays(spark, sf_dir):
     path = f"{shared_dir(spark)}/lodestar/arrays-{uuid.uuid4().hex}"
     # Arrays of a hundred records at most.
     arrays = d.groupBy(F.floor(F.col("doc_id") / 100).alias("block")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
-    arrays.repartition("block").select("value", "block").write.partitionBy("block").text(path)
-    return sources.preprint_blocks(spark, f"{path}/*").select("doi", "server", "version", "title")
+    # A number of its own: a shuffle that is joined again by size has one task write all of the many small files.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    arrays.repartition(tasks, "block").select("value", "block").write.partitionBy("block").text(path)
+    return sources.preprint_blocks(spark, f"{path}/*", ["doi", "server", "version", "title"])
 
 
 @query(

@@ -32,9 +32,10 @@ def arxiv_snapshot(spark: SparkSession, path: str, transliterate: bool = False,
     return rows.select("id", *(tidy[c].alias(c) for c in tidy), F.coalesce("update_date", F.lit("")).alias("date"), "categories", F.concat(F.lit("https://arxiv.org/abs/"), "id").alias("doi"), F.coalesce("categories", F.lit("arXiv")).alias("journal"))
 
 
-def preprint_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of JSON arrays; every column is text, nulls stay null."""
-    rows = spark.read.option("multiLine", True).json(path)
+def preprint_blocks(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Blocks of JSON arrays; every column is text, nulls stay null. Where ``columns`` are named, files are read once; otherwise they are read before to find them."""
+    reader = spark.read.option("multiLine", True)
+    rows = (reader.schema(", ".join(f"`{c}` string" for c in columns)) if columns else reader).json(path)
     return rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns if c != "_corrupt_record"))
 
 

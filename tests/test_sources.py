@@ -90,3 +90,11 @@ def test_catalog(spark, tmp_path):
     assert spark.read.schema(codes.schema).parquet(f"{tmp_path}/codes").count() == 11
     catalog.write_codes(codes.limit(0), f"{tmp_path}/empty")
     assert spark.read.parquet(f"{tmp_path}/empty").columns == codes.columns
+
+
+def test_blocks_with_named_columns_are_read_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"doi": 5, "title": null},\n {"doi": "x", "more": 1, "title": "T"}]')
+    from lodestar.sources.papers import preprint_blocks
+
+    rows = preprint_blocks(spark, str(tmp_path), ["doi", "title"])
+    assert sorted(map(tuple, rows.collect()), key=str) == [("5", None), ("x", "T")]
