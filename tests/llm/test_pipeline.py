@@ -96,3 +96,18 @@ def test_clashing_columns_and_empty_tables(spark, tmp_path):
             now = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{name}{k}")
             assert k == 3 or now.count() == want[k]
         assert corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).count() == now.count()
+
+
+def test_a_toxic_pair_of_harmless_words_is_dropped(spark, tmp_path):
+    nice = "river stone cloud paper tree glass road light field house".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = [nice[(i * i * 7 + k * k * (i % 7 + 1) + k * (i % 11)) % 10] + str((i * 13 + k * 5) % 9) for k in range(24)]
+        words[8:8] = ["drop", "dead"] if i % 4 == 0 else ["dead", "drop"] if i % 4 == 1 else ["drop", nice[i % 10], "dead"] if i % 4 == 2 else []
+        rows.append((i, " ".join(words), "en", "s1", 0))
+        labels.append((i, 0, int(i % 4 == 0)))
+    rows += [(None, "river drop dead stone", "en", "s1", 0), (None, "river dead drop stone", "en", "s1", 0), (None, None, None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if "drop dead" not in (r.text or ""))
