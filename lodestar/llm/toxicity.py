@@ -12,9 +12,9 @@ A word is judged by the documents that hold it, against the share of all words';
 (log p_toxic - log p_ordinary) / words over all its words in their context; a logistic curve fitted on the training rows turns it into a score.
 
 Of a model of order one, a word's history is its document: n_c(w) is the number of documents that hold w, and no longer expressions are read.
-The beginning of a text is one of the words that can precede w, but nothing is predicted by it: the first word has no history and is predicted by p_c(w).
+The beginning of a text is a history like any other: the first word is predicted by how texts of the class begin, and it is one of the words that can precede w.
 
-All labelled rows outside the held-out fifth train; nothing is sampled. Null or empty texts have evidence 0, as have texts without letters. A row with a null id is scored but never trains. Of several
+All labelled rows outside the held-out fifth train; nothing is sampled. Null or empty texts have evidence 0, as have texts without letters: they score the base rate. A row with a null id is scored but never trains. Of several
 labels for one id the largest counts. Without labels of both classes the score is the base rate. Words without letters are passed over, also as histories. Hashes of 64 bits stand for words.
 """
 
@@ -155,7 +155,8 @@ def _gather_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         toxic = np.array([r[0] for r in rows], np.int64)
         following = np.where(np.append(text[1:] != text[:-1], True), BEGIN, np.roll(w, -1))
-        around = np.uint64(1) << ((np.roll(h, 1) * PAIR ^ following) * PAIR >> np.uint64(58))
+        before = np.where(h == BEGIN, BEGIN, np.roll(h, 1))
+        around = np.uint64(1) << ((before * PAIR ^ following) * PAIR >> np.uint64(58))
         one = toxic[text]
         h0, w0, t0, c0, c1, m0, m1 = _merged([h, w, text], [1 - one, one], [np.where(one == k, around, np.uint64(0)) for k in (0, 1)])
         h0, w0, d0, d1, c0, c1, m0, m1 = _merged([h0, w0], [1 - toxic[t0], toxic[t0], c0, c1], [m0, m1])
@@ -224,7 +225,7 @@ def _by_history(z: float):
         if not len(h):
             return row(h, w, [], []), less
         sums = [np.add.reduceat(x, at) for x in (d0, d1, c0, c1)]
-        told = np.flatnonzero((h != BEGIN) & _apart(z, [d0, d1], [m0, m1], (sums[1] / (sums[0] + sums[1]))[of]))
+        told = np.flatnonzero(_apart(z, [d0, d1], [m0, m1], (sums[1] / (sums[0] + sums[1]))[of]))
         own = [np.maximum(c[told] - DISCOUNT, 0) / n[of[told]] for c, n in zip((c0, c1), sums[2:], strict=True)]
         back = [(1 - np.bincount(of[told], x, minlength=len(at)))[of[told]] for x in own]
         return row(h[told], w[told], [], [*own, *back]), less
@@ -340,9 +341,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (text[1:] != text[:-1])])[: len(w)])
         times = np.diff(np.append(at, len(w)))
         n, m = len(rows), len(at)
-        columns = (row + np.arange(n), [r[0] for r in rows], [r[1] for r in rows], sizes, [None] * n, [None] * n, [0] * n), (row + text[at], [None] * m, [None] * m, [None] * m, h[at].view(np.int64), w[at].view(np.int64), times)
+        read = np.bincount(text, minlength=n) // 3
+        columns = (row + np.arange(n), [r[0] for r in rows], [r[1] for r in rows], sizes, read, [None] * n, [None] * n, [0] * n), (row + text[at], *([None] * m for _ in range(4)), h[at].view(np.int64), w[at].view(np.int64), times)
         for part in columns:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["row", "doc_id", "key", "n", "h", "w", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["row", "doc_id", "key", "n", "words", "h", "w", "times"])
         row += n
 
 
@@ -364,7 +366,7 @@ class _Units:
 
 
 def evidence(docs: DataFrame, model: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """``docs`` (``doc_id, text, key``) as ``doc_id, llr, key``: the mean log-likelihood ratio of a word after the one before it.
+    """``docs`` (``doc_id, text, key``) as ``doc_id, llr, key, words``: the mean log-likelihood ratio of a word after the one before it, or after the beginning, and the number of words that have one.
 
     A word adds what it, its history and the pair of both have in ``model``. Both ways split texts and name words by the same helper and sum whole units of ``UNIT``, so they give the same values.
     """
@@ -389,12 +391,12 @@ def evidence(docs: DataFrame, model: DataFrame, broadcast_words: int = BROADCAST
                 told = np.flatnonzero(found)
                 np.add.at(total, text[told], found[told])
                 llr = total * UNIT / np.maximum(sizes, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(llr, pa.float64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "llr", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(llr, pa.float64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.bincount(text, minlength=len(rows)), pa.int64())], ["doc_id", "llr", "key", "words"])
 
-        return docs.mapInArrow(score, "doc_id long, llr double, key binary")
-    rows = docs.mapInArrow(_tokens, "row long, doc_id long, key binary, n long, h long, w long, times long")
-    told = rows.join(model, ["h", "w"], "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("key").alias("key"), F.max("n").alias("n"), F.sum(F.coalesce(F.col("times") * F.col("units"), F.lit(0))).alias("units"))
-    return told.select("doc_id", (F.col("units") * UNIT / F.greatest("n", F.lit(1))).alias("llr"), "key")
+        return docs.mapInArrow(score, "doc_id long, llr double, key binary, words long")
+    rows = docs.mapInArrow(_tokens, "row long, doc_id long, key binary, n long, words long, h long, w long, times long")
+    told = rows.join(model, ["h", "w"], "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("key").alias("key"), F.max("n").alias("n"), F.max("words").alias("words"), F.sum(F.coalesce(F.col("times") * F.col("units"), F.lit(0))).alias("units"))
+    return told.select("doc_id", (F.col("units") * UNIT / F.greatest("n", F.lit(1))).alias("llr"), "key", "words")
 
 
 def curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -456,6 +458,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     bin_of = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.round(F.col("llr") / BIN_WIDTH))).cast("int")
     bins = scored.join(marks, "doc_id").groupBy(bin_of.alias("bin")).agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).orderBy("bin").collect()
     slope, shift = curve([(r.bin * BIN_WIDTH, r.n0, r.n1) for r in bins]) if bins else curve([(0.0, 0, 0)])
-    score = 1 / (1 + F.exp(-(F.col("llr") * slope + shift)))
+    _, base = curve([(0.0, sum(r.n0 for r in bins), sum(r.n1 for r in bins))])
+    score = 1 / (1 + F.exp(-F.when(F.col("words") > 0, F.col("llr") * slope + shift).otherwise(base)))
     out = scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), "key").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return out.select("doc_id", "held_out", "score", "predicted", *(["key"] if key is not None else []))

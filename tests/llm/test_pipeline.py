@@ -111,3 +111,18 @@ def test_a_toxic_pair_of_harmless_words_is_dropped(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if "drop dead" not in (r.text or ""))
+
+
+def test_a_toxic_beginning_is_dropped_and_an_empty_text_stays(spark, tmp_path):
+    nice = "river stone cloud paper tree glass road light field house".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = [nice[(i * i * 7 + k * k * (i % 7 + 1) + k * (i % 11)) % 10] + "abcdefghi"[(i * 13 + k * 5) % 9] for k in range(24)]
+        words.insert(0 if i % 4 == 0 else 1 + i % 20, "listen")
+        rows.append((i, " ".join(words), "en", "s1", 0))
+        labels.append((i, 0, int(i % 4 == 0)))
+    rows += [(None, "listen river stone", "en", "s1", 0), (None, "river listen stone", "en", "s1", 0), (500, "", "en", "s1", 0), (None, None, None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if not (r.text or "").startswith("listen"))

@@ -95,3 +95,20 @@ def test_copies_tell_nothing(spark):
     model = fit(spark.createDataFrame([(t, c) for _, t, c in docs] + copies, "text string, toxic int"), 4.0, 2)
     signed = lambda w: name(w) - (name(w) >> 63 << 64)
     assert {(r.h, r.w) for r in model.collect() if r.h and r.w} == {(signed("drop"), signed("dead"))}
+
+
+def test_the_first_word_is_predicted_by_the_beginning(spark):
+    """Each text holds ``listen`` once; only those that begin with it are toxic."""
+    docs = []
+    for i in range(400):
+        words = [NICE[(i * i * 7 + k * k * (i % 7 + 1) + k * (i % 11)) % 10] + "abcdefghi"[(i * 13 + k * 5) % 9] for k in range(24)]
+        words.insert(0 if i % 4 == 0 else 1 + i % 20, "Listen,")
+        docs.append((i, " ".join(words)))
+    docs += [(1000, "7 listen river stone"), (1001, "river listen stone"), (1002, ""), (1003, "1 2"), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    out = toxicity(d, marks).collect()
+    assert {r.doc_id for r in out if r.predicted} == {*range(0, 400, 4), 1000}
+    train = [i % 4 == 0 for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert all(abs(r.score - sum(train) / len(train)) < 1e-4 for r in out if r.doc_id in (1002, 1003, None))
+    assert sorted(map(str, toxicity(d, marks, broadcast_words=0).collect())) == sorted(map(str, out))
