@@ -167,7 +167,7 @@ def _part(bits: Column, most: int) -> Column:
 
 
 def dealt(prints: DataFrame, most: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``print, mask, value``: each distinct fingerprint in the buckets where its links are found."""
+    """``print, mask, value``: each distinct fingerprint in the buckets where its links are found, once; a bucket lies in one partition."""
     # A bucket with fewer clear bits than parts holds no more than this.
     bucket_rows = max(bucket_rows, 1 << most)
     rows = prints.select("print", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"))
@@ -178,7 +178,8 @@ def dealt(prints: DataFrame, most: int, bucket_rows: int = BUCKET_ROWS) -> DataF
         done = small if done is None else done.unionByName(small)
         masks = sizes.select("mask").distinct().select("mask", F.explode(_part(F.col("mask"), most)).alias("next"))
         if not sizes.head(1):
-            return done
+            # A bucket has all fingerprints with its bits, so one that several rounds deal is the same in each.
+            return done.repartition("mask", "value").distinct()
         large = rows.join(sizes, ["mask", "value"], "left_semi").join(masks, "mask")
         rows = written(large.select("print", F.col("next").alias("mask"), F.col("print").bitwiseAND(F.col("next")).alias("value")).distinct(), "buckets")
 
@@ -218,7 +219,7 @@ def print_links(prints: DataFrame, most: int, bucket_rows: int = BUCKET_ROWS) ->
 
     schema = "print long, mask long, value long, rank long"
     ranked = dealt(prints, most, bucket_rows).select("print", "mask", "value").mapInArrow(rank, schema)
-    sorted_ = ranked.repartition("mask", "value").sortWithinPartitions("mask", "value", "rank").select("mask", "value", "print")
+    sorted_ = ranked.sortWithinPartitions("mask", "value", "rank").select("mask", "value", "print")
     return sorted_.mapInArrow(join, "u long, v long")
 
 

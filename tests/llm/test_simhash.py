@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,6 +127,15 @@ def test_links_join_all_that_reach_each_other(spark, bucket_rows):
     assert sizes.agg({"count": "max"}).first()[0] <= max(16, bucket_rows)
 
 
+def test_a_bucket_that_two_rounds_deal_counts_once(spark):
+    rows = dealt(spark.range(16).withColumnRenamed("id", "print"), 2, 4).collect()
+    assert len(rows) == len(set(rows))
+    sizes = Counter((r.mask, r.value) for r in rows)
+    assert max(sizes.values()) == 4
+    # Each bucket has all fingerprints with its bits.
+    assert all(n == sum(p & mask == value for p in range(16)) for (mask, value), n in sizes.items())
+
+
 @pytest.mark.parametrize("bucket_rows", [16, module.BUCKET_ROWS])
 def test_against_brute_force(spark, bucket_rows):
     rng = random.Random(11)
